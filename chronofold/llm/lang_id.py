@@ -30,6 +30,7 @@ from chronofold.llm.common import arrow_map, hash_fraction
 
 UND = "und"
 ORDER = 4
+STEP = 1 << 19  # symbols worked on at once
 SPACE = 1  # the symbol of everything that is not a letter; 0 pads nothing and never occurs
 DISCOUNT = 0.75
 DOCS_PER_LANG = 1500
@@ -120,19 +121,31 @@ class Model:
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per symbol, a row a text and a column a language; number of letters."""
+        bits, letters, lo = [np.zeros((0, len(self.langs)))], [np.zeros(0, np.int64)], 0
+        while lo < len(texts):  # so many texts at a time that memory stays bounded
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= STEP):
+                size += len(texts[hi] or "")
+                hi += 1
+            b, n = self._some(texts[lo:hi])
+            bits.append(b)
+            letters.append(n)
+            lo = hi
+        return np.concatenate(bits), np.concatenate(letters)
+
+    def _some(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         syms, starts = symbols(texts)
         ends = np.concatenate((starts[1:], [len(syms)]))
         total = np.zeros((len(texts), len(self.langs)))
         letters = np.zeros(len(texts), np.int64)
-        step = 1 << 20  # symbols at a time, so that memory stays bounded whatever a text's length
-        for lo in range(0, len(syms), step):
-            hi = min(len(syms), lo + step)
+        for lo in range(0, len(syms), STEP):
+            hi = min(len(syms), lo + STEP)
             before = max(0, lo - ORDER + 1)
-            scores = self._level(grams(syms[before:hi], ORDER)[lo - before :], ORDER).astype(np.float64)
+            scores = self._level(grams(syms[before:hi], ORDER)[lo - before :], ORDER)
             first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left")
             cuts = np.maximum(starts[first:last], lo) - lo
-            total[first:last] += np.add.reduceat(scores, cuts, axis=0)
-            letters[first:last] += np.add.reduceat((syms[lo:hi] != SPACE).astype(np.int64), cuts)
+            total[first:last] += np.add.reduceat(scores, cuts, axis=0, dtype=np.float64)
+            letters[first:last] += np.add.reduceat(syms[lo:hi] != SPACE, cuts, dtype=np.int64)
         return -total / (ends - starts)[:, None], letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -213,11 +226,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         texts, ls = batch["t"].to_pylist(), np.array(batch["l"].to_pylist())
         out_l, out_k, out_n = [], [], []
         for l in sorted(set(ls.tolist())):
-            syms, _ = symbols([t for t, m in zip(texts, ls == l) if m])
-            k, n = np.unique(grams(syms, ORDER), return_counts=True)
-            out_l += [l] * len(k)
-            out_k.append(k.astype(np.int64))
-            out_n.append(n)
+            for t in (t for t, m in zip(texts, ls == l) if m):
+                k, n = np.unique(grams(symbols([t])[0], ORDER), return_counts=True)
+                out_l += [l] * len(k)
+                out_k.append(k.astype(np.int64))
+                out_n.append(n)
         return {"l": out_l, "k": pa.array(np.concatenate(out_k)), "n": pa.array(np.concatenate(out_n))}
 
     table = arrow_map(rows.where(in_train), count, "l string, k bigint, n bigint").groupBy("l", "k").agg(F.sum("n").alias("n")).orderBy("l", "k").toArrow()
