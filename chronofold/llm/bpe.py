@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from chronofold.llm.common import arrow_map
 
 #: Bounds of the tables that only save time; they are emptied when full.
-MAX_PAIRS, MAX_PIECES = 1_000_000, 600_000
+MAX_PAIRS, MAX_PIECES = 600_000, 400_000
 CHUNK = 1 << 20
 SHIFT = 20  # bits of a token id in a pair's key
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import bpe, html_extract, lang_id, pii
+from chronofold.llm import bpe, html_extract, lang_id, near_dup, pii
 from chronofold.llm.common import table
 
 #: The ranks file and split pattern of the encoding queries; a parameter, never copied here.
@@ -37,8 +37,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op4_byte_bpe, op5_personal_data, op9_language_id)
+    found = (op1_html_extraction, op4_byte_bpe, op5_personal_data, op9_language_id, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
