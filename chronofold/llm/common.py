@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,12 @@ def drop_cuts(spark: SparkSession, *frames: DataFrame) -> None:
             _delete(spark, name)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished work now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

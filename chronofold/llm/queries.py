@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import ann, bpe, html_extract, imatch, lang_id, line_dedup, mixing, near_dup, pii
+from chronofold.llm import ann, bpe, html_extract, imatch, lang_id, line_dedup, mixing, near_dup, pii, substring_dedup
 from chronofold.llm.common import table
 
 #: The ranks file and split pattern of the encoding queries; a parameter, never copied here.
@@ -27,6 +27,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, RANKS, PATTERN)
@@ -63,7 +67,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_mixing, op4_byte_bpe, op5_personal_data, op6_line_dedup, op7_imatch_fingerprints, op8_nearest_neighbours, op9_language_id, op10_minhash_near_dedup)
+    found = (op1_html_extraction, op2_mixing, op3_suffix_dedup, op4_byte_bpe, op5_personal_data, op6_line_dedup, op7_imatch_fingerprints, op8_nearest_neighbours, op9_language_id, op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
