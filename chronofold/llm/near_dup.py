@@ -9,10 +9,11 @@
    compared with the group's smallest only; compressed registers give a Jaccard estimate,
    corrected for registers that collide by chance, and what is clearly below the threshold goes.
 4. *Verification* compares the whole sets of what remains: 100 * shared >= percent * union.
-5. *The rest, exactly*: after connecting what is verified, some band groups still hold several
-   components. There every class outside the group's largest component is compared, block by block, with all
-   classes of other components in the group by their registers, and estimates that pass are verified too. So every candidate
-   pair has been compared or is already connected, without listing all pairs of a group.
+5. *The rest, exactly*: classes connected by shared bands form clusters. Where verification left several
+   components in a cluster, every class outside its largest component is compared, block by
+   block, with the classes of the others, first by registers and then by whole sets; only
+   links that join components leave a block. So every candidate pair has been compared or is connected already,
+   without listing all pairs of a group.
 
 With 25 bands of 5 registers a pair at similarity 0.85 is missed with probability 5e-7.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import arrow_map, cut, drop_cuts, mix64
+from chronofold.llm.common import arrow_map, cut, mix64, release
 from chronofold.llm.graph import components
 from chronofold.llm.shingles import shingle_sets
 
@@ -122,35 +123,26 @@ def _packed_sets(batch: dict) -> dict:
     return {"rep": batch["rep"], "words": out}
 
 
+def near(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least ``percent`` of their union."""
+    if len(p) > len(q):
+        p, q = q, p
+    if 100 * len(p) < percent * len(q):
+        return False
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    shared = int((q[at] == p).sum())
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
 def _verifier(percent: int):
     def verify(batch: dict) -> dict:
-        good = []
-        for x, y in zip(batch["wa"], batch["wb"]):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            low, high = sorted((len(p), len(q)))
-            shared = 0
-            if 100 * low >= percent * high:
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                shared = int((q[at] == p).sum())
-            good.append(100 * shared >= percent * (len(p) + len(q) - shared))
+        good = [near(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch["wa"], batch["wb"])]
         return {"a": batch["a"], "b": batch["b"], "good": good}
 
     return verify
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) of representatives whose whole sets are near, as a cut table."""
-    pairs = cut(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    sets = cut(arrow_map(texts, _packed_sets, "rep bigint, words binary").dropDuplicates(["rep"]), "sets")
-    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a")
-    edges = cut(arrow_map(both.select("a", "b", "wa", "wb"), _verifier(percent), "a bigint, b bigint, good boolean").where("good").select("a", "b"), "near")
-    drop_cuts(docs.sparkSession, pairs, sets)
-    return edges
-
-
 def _passing(percent: int):
     def keep(batch: dict) -> dict:
         a = np.frombuffer(b"".join(batch["ra"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
@@ -162,20 +154,34 @@ def _passing(percent: int):
 
 
 def _across(percent: int):
-    """Pairs of different components in one block of a band group whose estimate passes."""
+    """Links that join different components in one block of a cluster: no more than connect them.
+
+    A row outside the cluster's main component is compared with the rows at home in this block
+    by registers, and by whole sets where the estimate passes and nothing found here links them yet.
+    """
 
     def compare(table):
-        reps, comps, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
+        comps, n, home = (table.column(c).to_numpy() for c in ("comp", "n", "home"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        words = [np.frombuffer(w.as_buffer(), np.uint64) for w in table.column("words")]
         outside = table.column("outside").to_numpy(zero_copy_only=False)
-        out_a, out_b = [], []
+        here = np.flatnonzero(home == table.column("block")[0].as_py())
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                up[c] = c = up.get(up[c], up[c])
+            return c
+
+        out: list[tuple[int, int]] = []
         for i in np.flatnonzero(outside):
-            e = estimate(regs[i][None, :], regs, n[i].astype(float), n.astype(float))
-            hit = np.flatnonzero((e >= percent / 100 - SLACK) & (comps != comps[i]))
-            out_a.append(np.minimum(reps[hit], reps[i]))
-            out_b.append(np.maximum(reps[hit], reps[i]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(out_a or none), pa.int64()), "b": pa.array(np.concatenate(out_b or none), pa.int64())})
+            e = estimate(regs[i][None, :], regs[here], n[i].astype(float), n[here].astype(float))
+            for j in here[(e >= percent / 100 - SLACK) & (comps[here] != comps[i])].tolist():
+                x, y = root(int(comps[i])), root(int(comps[j]))
+                if x != y and near(words[i], words[j], percent):
+                    up[max(x, y)] = min(x, y)
+                    out.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return compare
 
@@ -183,41 +189,38 @@ def _across(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; see the module's text."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
     signed = cut(arrow_map(docs, _signatures, "doc_id bigint, n bigint, set_key binary, regs binary, bands array<bigint>"), "sketches")
     classes = cut(signed.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1").select("band", "a")
-    first = banded.join(heads, "band").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    first = cut(banded.join(heads, "band").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "candidates")
+    clusters = components(first).toDF("rep", "cluster")
+    # Texts move once, by a join that shuffles at every size, so that cost grows in proportion.
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(clusters.select("rep").hint("merge"), "rep")
+    sets = cut(arrow_map(texts, _packed_sets, "rep bigint, words binary").dropDuplicates(["rep"]), "sets")
+    release(spark)
+
     facts = classes.select("rep", "n", "regs")
     rated = first.join(facts.toDF("a", "na", "ra"), "a").join(facts.toDF("b", "nb", "rb"), "b")
-    passed = arrow_map(rated.select("a", "b", "na", "nb", "ra", "rb"), _passing(percent), "a bigint, b bigint, good boolean").where("good").select("a", "b")
-    edges = _confirm(passed, docs, percent)
-    labels = components(edges)
-
-    # Band groups that still hold several components.
-    comp = F.coalesce("root", "rep").alias("comp")
-    placed = cut(banded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", comp), "placed")
-    per_comp = placed.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    mixed = per_comp.groupBy("band").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1").select("band", "main", "size")
-    rows = placed.join(mixed, "band").join(facts, "rep").withColumn("outside", F.col("comp") != F.col("main"))
+    passed = cut(arrow_map(rated.select("a", "b", "na", "nb", "ra", "rb"), _passing(percent), "a bigint, b bigint, good boolean").where("good").select("a", "b"), "passed")
+    both = passed.join(sets.toDF("b", "wb"), "b").join(sets.toDF("a", "wa"), "a").select("a", "b", "wa", "wb")
+    labels = components(arrow_map(both, _verifier(percent), "a bigint, b bigint, good boolean").where("good").select("a", "b"))
+    release(spark)
+
+    # Clusters of candidates that still hold several components.
+    placed = cut(clusters.join(labels.toDF("rep", "root"), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("comp")), "placed")
+    per_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    mixed = per_comp.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1").select("cluster", "main", "size")
+    rows = placed.join(mixed, "cluster").join(facts, "rep").join(sets, "rep").withColumn("outside", F.col("comp") != F.col("main"))
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
-    # A class outside the main component goes to every block of its group, the others to one.
-    spread = rows.withColumn("block", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array(block))))
-    more = spread.select("band", "block", "rep", "comp", "n", "regs", "outside").groupBy("band", "block").applyInArrow(_across(percent), "a bigint, b bigint").distinct()
-    late = _confirm(more, docs, percent)
-    if not late.isEmpty():
-        roots = components(_renamed(late, labels))
-        labels = labels.join(roots.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(roots.join(labels.select("node"), "node", "left_anti"))
-    of_class = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
+    # A class outside the main component goes to every block of its cluster, the others only home.
+    spread = rows.withColumn("home", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("block", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array("home"))))
+    late = spread.select("cluster", "block", "home", "comp", "n", "regs", "words", "outside").groupBy("cluster", "block").applyInArrow(_across(percent), "a bigint, b bigint")
+    roots = components(late)
+    up = roots.toDF("root", "up")
+    final = placed.withColumnRenamed("comp", "root").join(up, "root", "left").select("rep", F.coalesce("up", "root").alias("root"))
+    of_class = classes.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n", "set_key").join(of_class, "set_key", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
-
-
-
-def _renamed(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """The edges between the roots of their ends."""
-    a = labels.toDF("a", "ra")
-    b = labels.toDF("b", "rb")
-    return edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
