@@ -7,7 +7,7 @@ doc_id, then position) and is removed at the others, once its bytes equal the fi
 
 Only hashes and positions are shuffled to find repeats, aggregated map-side, so a chunk of a
 third of all rows is one row a task; texts move once by doc_id, and those of repeated chunks once
-more for the comparison.
+more for the comparison. Joins with texts shuffle at every size, so that cost grows in proportion.
 
 Defined results: a null text stays null, a text whose chunks all go becomes empty; blank chunks
 (only white space) stay; rows without a doc_id pass through unchanged and count as no place; rows that repeat a
@@ -82,7 +82,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     by_doc = cut(repeats.groupBy("_id").agg(F.collect_set("r").alias("repeats")), "repeats")  # no more than a document's chunks
 
     # Compare bytes: each later place's body with the first place's.
-    found = with_chunks(base.join(by_doc, "_id"), "_text", target).select("_id", "repeats", F.explode("chunks").alias("c"))
+    found = with_chunks(base.join(by_doc.hint("merge"), "_id"), "_text", target).select("_id", "repeats", F.explode("chunks").alias("c"))
     bodies = found.select("_id", F.col("c.body").alias("body"), F.explode(F.filter("repeats", lambda r: r["pos"] == F.col("c.pos"))).alias("r"))
     bodies = bodies.where((F.xxhash64("body") == F.col("r.h")) & (F.length("body") == F.col("r.len"))).select("_id", "body", "r.*")
     first_bodies = bodies.where("is_first").select(*key, F.col("body").alias("first_body")).dropDuplicates(key)
@@ -90,7 +90,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = cut(victims.groupBy("_id").agg(F.collect_set(F.struct("pos", "h")).alias("gone")), "gone")
 
     whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(others)])
-    chunked = with_chunks(whole.join(gone, "_id", "left"), "_text", target)
+    chunked = with_chunks(whole.join(gone.hint("merge"), "_id", "left"), "_text", target)
     is_gone = lambda c: F.coalesce(F.exists("gone", lambda g: (g["pos"] == c["pos"]) & (g["h"] == F.xxhash64(c["body"]))), F.lit(False))
     out = chunked.withColumn("_gone", F.filter("chunks", is_gone)).withColumn("_kept", F.filter("chunks", lambda c: ~is_gone(c)))
     text = F.when(F.size("_gone") > 0, F.array_join(F.transform("_kept", lambda c: c["body"]), "\n")).otherwise(F.col("_text"))
