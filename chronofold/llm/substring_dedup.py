@@ -197,7 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     as_runs = F.expr("sort_array(collect_list(named_struct('lo', lo, 'more', more)))")
     open_ = found.where("not settled").groupBy("doc_id").agg(as_runs.alias("runs"))
-    pairs = arrow_map(docs.join(open_, "doc_id").select("doc_id", "text", "runs"), _strings, "r0 bigint, r25 bigint, doc_id bigint, s int")
+    pairs = arrow_map(docs.join(open_.hint("merge"), "doc_id").select("doc_id", "text", "runs"), _strings, "r0 bigint, r25 bigint, doc_id bigint, s int")
     by_pair = Window.partitionBy("r0", "r25")
     doubled = cut(pairs.withColumn("first", F.min("doc_id").over(by_pair)).where("doc_id > first").select("doc_id", F.col("s").alias("lo"), F.lit(0).alias("more")), "doubled")
     release(spark)
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = cut(gone.groupBy("doc_id").agg(as_runs.alias("gone")), "runs")
     drop_cuts(spark, found, doubled)
     release(spark)
-    return arrow_map(docs.join(runs, "doc_id", "left").select("doc_id", "text", "gone"), _cover, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return arrow_map(docs.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone"), _cover, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = near_dup.near_duplicates(docs)
     gone = verdicts.where("not kept").select("doc_id").distinct()
-    return like_documents(docs.join(gone, "doc_id", "left_anti"), spark, sf_dir)
+    return like_documents(docs.join(gone.hint("merge"), "doc_id", "left_anti"), spark, sf_dir)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
