@@ -23,7 +23,7 @@ def sliding_state(events: DataFrame, item: str, ts: str) -> DataFrame:
 def sliding_estimate(state: DataFrame, since: Column) -> DataFrame:
     """Approximate number of distinct items seen at or after ``since``, from the state."""
     m = float(REGISTERS)
-    top = state.where(F.col("seen") >= since).groupBy("register").agg((F.max("rank") + 1).alias("r"))
+    top = state.where(F.col("seen") >= since).groupBy("register").agg(F.max("rank").alias("r"))
     s = top.agg(F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("r"))), F.lit(0.0)).alias("z"), F.count("*").alias("used"))
     raw = F.lit(0.7213 / (1 + 1.079 / m) * m * m) / (F.col("z") + (F.lit(m) - F.col("used")))
     empty = F.lit(m) - F.col("used")
