@@ -77,7 +77,8 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     able = places.where((F.col("n") > 1) & (F.trim(F.regexp_replace("body", "[\\n\\t\\r]", " ")) != ""))
     keyed = cut(able.select("_id", "pos", F.xxhash64("body").alias("h"), F.crc32(F.encode("body", "UTF-8")).alias("c32"), F.length("body").alias("len")), "places")
     key = ["h", "c32", "len"]
-    firsts = keyed.groupBy(*key).agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("times")).where("times > 1").select(*key, "first")
+    # Cut, so that the join reads two plain shuffles and Spark can split a chunk that a share of all rows holds.
+    firsts = cut(keyed.groupBy(*key).agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("times")).where("times > 1").select(*key, "first"), "firsts")
     repeats = keyed.join(firsts, key).select("_id", F.struct("pos", *key, (F.struct("_id", "pos") == F.col("first")).alias("is_first")).alias("r"))
     by_doc = cut(repeats.groupBy("_id").agg(F.collect_set("r").alias("repeats")), "repeats")  # no more than a document's chunks
 
@@ -85,7 +86,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = with_chunks(base.join(by_doc.hint("merge"), "_id"), "_text", target).select("_id", "repeats", F.explode("chunks").alias("c"))
     bodies = found.select("_id", F.col("c.body").alias("body"), F.explode(F.filter("repeats", lambda r: r["pos"] == F.col("c.pos"))).alias("r"))
     bodies = bodies.where((F.xxhash64("body") == F.col("r.h")) & (F.length("body") == F.col("r.len"))).select("_id", "body", "r.*")
-    first_bodies = bodies.where("is_first").select(*key, F.col("body").alias("first_body")).dropDuplicates(key)
+    first_bodies = cut(bodies.where("is_first").select(*key, F.col("body").alias("first_body")).dropDuplicates(key), "bodies")
     victims = bodies.where("not is_first").select("_id", "pos", *key, "body").join(first_bodies, key).where(F.col("body") == F.col("first_body")).select("_id", "pos", "h")
     gone = cut(victims.groupBy("_id").agg(F.collect_set(F.struct("pos", "h")).alias("gone")), "gone")
 
