@@ -99,7 +99,7 @@ def choose(docs: DataFrame, mix: Mix, tokens: Column, id_col: str = "doc_id") ->
     slots = keyed.groupBy(*levels, "slot").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
     upto = Window.partitionBy(*levels).orderBy("slot")
     slots = slots.withColumn("before", F.sum("t").over(upto) - F.col("t"))
-    edge = slots.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest"))).select(*levels, "slot", "before")
+    edge = cut(slots.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest"))).select(*levels, "slot", "before"), "slots")  # a row a leaf
     inside = keyed.join(edge, [*levels, "slot"]).groupBy(*levels, "key", "before", "rest").agg(F.sum("tokens").alias("tokens"))
     run = Window.partitionBy(*levels).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     last = inside.withColumn("sum", F.col("before") + F.sum("tokens").over(run)).where("sum <= rest").groupBy(*levels).agg(F.max("key").alias("upto_key"))
