@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,9 +50,14 @@ def drop_cuts(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished work now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished work now rather than at some later collection.
+
+    Frames over that work must be out of scope. The second round collects what the first one's cleaning let go of.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import arrow_map, cut, drop_cuts, mix64, release
@@ -39,6 +39,7 @@ from chronofold.llm.shingles import _powers, text_bytes
 LENGTH = 50
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1
+MORE_BITS = 24  # of a run's length, beside the 40 bits of its name
 CHUNK_BYTES = 4 << 20
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -121,7 +122,12 @@ def _sample(batch: dict) -> dict:
         for c, v in zip(cols, (gram.view(np.int64), run, ids[a:b][t], lo - text_start, hi - lo)):
             c.append(v)
     g, r, d, lo, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-    return {"gram": pa.array(g.astype(np.int64)), "run": pa.array(r.astype(np.int64)), "doc_id": pa.array(d.astype(np.int64)), "lo": pa.array(lo.astype(np.int32)), "more": pa.array(n.astype(np.int32))}
+    parts = (n >> MORE_BITS) + 1  # a folded run too long for its bits is several
+    if (parts > 1).any():
+        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        g, r, d, lo, n = (np.repeat(c, parts) for c in (g, r, d, lo, n))
+        lo, n = lo + (k << MORE_BITS), np.minimum(n - (k << MORE_BITS), (1 << MORE_BITS) - 1)
+    return {"gram": pa.array(g.astype(np.int64)), "run_more": pa.array(r.astype(np.int64) << MORE_BITS | n), "doc_id": pa.array(d.astype(np.int64)), "lo": pa.array(lo.astype(np.int32))}
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -182,31 +188,44 @@ def _cover(batch: dict) -> dict:
     return {"doc_id": batch["doc_id"]} | out
 
 
+def _as_runs() -> Column:
+    return F.sort_array(F.collect_list(F.struct("lo", "more")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept`` (the remaining bytes), ``n_bytes, n_removed, n_spans`` for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = arrow_map(docs.where("doc_id is not null"), _sample, "gram bigint, run bigint, doc_id bigint, lo int, more int")
+    found = _shared_runs(docs)
+    release(spark)
+    doubled = _repeated_strings(docs, found)
+    release(spark)
+    gone = found.where("settled").select("doc_id", "lo", "more").unionByName(doubled)
+    runs = cut(gone.groupBy("doc_id").agg(_as_runs().alias("gone")), "runs")
+    del gone
+    drop_cuts(spark, found, doubled)
+    release(spark)
+    return arrow_map(docs.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone"), _cover, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+
+
+def _shared_runs(docs: DataFrame) -> DataFrame:
+    """Runs whose gram several documents share: settled by equality of the whole run, or open; a cut table."""
+    rows = arrow_map(docs.where("doc_id is not null"), _sample, "gram bigint, run_more bigint, doc_id bigint, lo int")
     by_gram, by_run = Window.partitionBy("gram"), Window.partitionBy("gram", "run")
     ranked = rows.withColumn("first_of_gram", F.min("doc_id").over(by_gram)).withColumn("last_of_gram", F.max("doc_id").over(by_gram))
     ranked = ranked.where("first_of_gram < last_of_gram")  # the others are unique to a document
+    ranked = ranked.withColumn("run", F.shiftrightunsigned("run_more", MORE_BITS)).withColumn("more", F.col("run_more").bitwiseAND(F.lit((1 << MORE_BITS) - 1)).cast("int"))
     ranked = ranked.withColumn("mixed", F.min("run").over(by_gram) != F.max("run").over(by_gram)).withColumn("first_of_run", F.min("doc_id").over(by_run))
     settled = F.col("doc_id") > F.col("first_of_run")
-    found = cut(ranked.where(settled | F.col("mixed")).select("doc_id", "lo", "more", settled.alias("settled")), "suffixes")
-    release(spark)
+    return cut(ranked.where(settled | F.col("mixed")).select("doc_id", "lo", "more", settled.alias("settled")), "suffixes")
+
 
-    as_runs = F.expr("sort_array(collect_list(named_struct('lo', lo, 'more', more)))")
-    open_ = found.where("not settled").groupBy("doc_id").agg(as_runs.alias("runs"))
+def _repeated_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The doubling step over open runs: starts of strings that an earlier document holds; a cut table."""
+    open_ = found.where("not settled").groupBy("doc_id").agg(_as_runs().alias("runs"))
     pairs = arrow_map(docs.join(open_.hint("merge"), "doc_id").select("doc_id", "text", "runs"), _strings, "r0 bigint, r25 bigint, doc_id bigint, s int")
     by_pair = Window.partitionBy("r0", "r25")
-    doubled = cut(pairs.withColumn("first", F.min("doc_id").over(by_pair)).where("doc_id > first").select("doc_id", F.col("s").alias("lo"), F.lit(0).alias("more")), "doubled")
-    release(spark)
-
-    gone = found.where("settled").select("doc_id", "lo", "more").unionByName(doubled)
-    runs = cut(gone.groupBy("doc_id").agg(as_runs.alias("gone")), "runs")
-    drop_cuts(spark, found, doubled)
-    release(spark)
-    return arrow_map(docs.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone"), _cover, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return cut(pairs.withColumn("first", F.min("doc_id").over(by_pair)).where("doc_id > first").select("doc_id", F.col("s").alias("lo"), F.lit(0).alias("more")), "doubled")
 
 
 def digest(kept: DataFrame) -> DataFrame:
