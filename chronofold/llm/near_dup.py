@@ -199,6 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # Texts move once, by a join that shuffles at every size, so that cost grows in proportion.
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(clusters.select("rep").hint("merge"), "rep")
     sets = cut(arrow_map(texts, _packed_sets, "rep bigint, words binary").dropDuplicates(["rep"]), "sets")
+    del texts
     release(spark)
 
     facts = classes.select("rep", "n", "regs")
@@ -206,6 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     passed = cut(arrow_map(rated.select("a", "b", "na", "nb", "ra", "rb"), _passing(percent), "a bigint, b bigint, good boolean").where("good").select("a", "b"), "passed")
     both = passed.join(sets.toDF("b", "wb"), "b").join(sets.toDF("a", "wa"), "a").select("a", "b", "wa", "wb")
     labels = components(arrow_map(both, _verifier(percent), "a bigint, b bigint, good boolean").where("good").select("a", "b"))
+    del rated, both, heads
     release(spark)
 
     # Clusters of candidates that still hold several components.
