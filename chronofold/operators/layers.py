@@ -87,3 +87,37 @@ def physical_garbage(objects: DataFrame, index: DataFrame, now: int, min_age: in
     live = index.join(newest, "tenant").where("generation = top").select("name").distinct()
     old = objects.where(F.lit(now) - F.col("modified") >= min_age)
     return old.join(live, "name", "left_anti").join(index.select("name", F.lit(1).alias("known")).distinct(), "name", "left").select("name", F.when(F.col("known").isNull(), "orphan").otherwise("superseded").alias("reason"))
+
+
+def visible(layers: DataFrame, points: DataFrame) -> DataFrame:
+    """Layers that some read point (lsn) needs: newer images at or below the point don't cover all their keys. ``points`` is a few rows."""
+    asked = layers.join(F.broadcast(points.select(F.col("lsn").alias("point")))).where("lsn_start <= point")
+    images = layers.where("kind = 'image'").select("id", "start", "end", "lsn_start")
+    over = overlap_join(asked, images, 100).where("b_id <> a_id and b_lsn_start >= a_lsn_end and b_lsn_start <= a_point")
+    clipped = over.select(F.col("a_id").alias("id"), F.col("a_point").alias("point"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"), (F.col("a_end") - F.col("a_start")).alias("width"))
+    w = Window.partitionBy("id", "point").orderBy("start", "end")
+    before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("start"))
+    covered = clipped.withColumn("own", F.greatest(F.lit(0), F.col("end") - F.greatest("start", before))).groupBy("id", "point", "width").agg(F.sum("own").alias("got")).where("got = width").select("id", "point")
+    return asked.join(covered, ["id", "point"], "left_anti").select("id").distinct()
+
+
+def identify_level(layers: DataFrame, end: int) -> DataFrame:
+    """The level whose layers reach ``end``: the layers between the newest position no layer straddles and ``end``.
+
+    A cut is a position where every layer ends at or before, or starts at or after; the level is what lies above the
+    highest cut below ``end``. One sweep over starts and ends.
+    """
+    below = layers.where(F.col("lsn_end") <= end)
+    marks = below.select(F.explode(F.array(F.struct(F.col("lsn_start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("lsn_end").alias("p"), F.lit(-1).alias("d")))).alias("m")).select("m.*").groupBy("p").agg(F.sum("d").alias("d"))
+    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    cuts = marks.withColumn("open", F.sum("d").over(w)).where("open = 0").select("p")
+    top = F.broadcast(below.agg(F.max("lsn_end").alias("top")))
+    cut = cuts.join(top).where("p < top").agg(F.max("p").alias("cut"))
+    return below.join(F.broadcast(cut)).where("cut is null or lsn_start >= cut").select("id")
+
+
+def gc_jobs(layers: DataFrame, target: int) -> DataFrame:
+    """Key ranges for bottom-most compaction jobs: ``job, start, end, bytes``, split where the layers' sizes by key pass multiples of ``target``."""
+    w = Window.orderBy("start", "id")
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return layers.withColumn("job", F.floor(before / target).cast("bigint")).groupBy("job").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("size").alias("bytes"))

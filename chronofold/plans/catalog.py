@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalar as fn
+from chronofold.functions.json_schema import is_valid
 from chronofold.operators import keyspace, layers, telemetry, versioned
 from chronofold.session import table
 from chronofold.streaming import log
@@ -385,6 +386,22 @@ def f30(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("last_access"), F.count("*").alias("n"))
 
 
+@case("W12_layer_visibility", f"WITH {_L}, {_KEYS}, p AS (SELECT * FROM (VALUES (220), (350), (600)) t(point)) SELECT DISTINCT a.id FROM l a, p WHERE a.ls <= point AND EXISTS (SELECT 1 FROM k WHERE key >= a.s AND key < a.e AND NOT EXISTS (SELECT 1 FROM l i WHERE i.kind = 'image' AND i.id <> a.id AND i.ls >= a.le AND i.ls <= point AND key >= i.s AND key < i.e))")
+def w12(spark, sf):
+    return layers.visible(layer_map(spark), spark.createDataFrame([(220,), (350,), (600,)], "lsn long"))
+
+
+@case("F14_identify_level", "WITH l AS (SELECT id, id // 6 * 100 + (id * 7) % 40 AS a, id // 6 * 100 + (id * 7) % 40 + 60 AS b FROM range(40) t(id)), x AS (SELECT * FROM l WHERE b <= 700), c AS (SELECT max(p) AS cut FROM (SELECT b AS p FROM x) WHERE p < (SELECT max(b) FROM x) AND NOT EXISTS (SELECT 1 FROM x WHERE a < p AND b > p) AND NOT EXISTS (SELECT 1 FROM x WHERE a = p)) SELECT id FROM x, c WHERE cut IS NULL OR a >= cut")
+def f14(spark, sf):
+    low = F.floor(F.col("id") / 6) * 100 + (F.col("id") * 7) % 40
+    return layers.identify_level(spark.range(40).select("id", low.alias("lsn_start"), (low + 60).alias("lsn_end")), 700)
+
+
+@case("F15_gc_jobs", f"WITH {_L}, j AS (SELECT *, coalesce(sum(size) OVER (ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000 AS job FROM l) SELECT CAST(job AS BIGINT) AS job, min(s) AS start, max(e) AS \"end\", CAST(sum(size) AS BIGINT) AS bytes FROM j GROUP BY job")
+def f15(spark, sf):
+    return layers.gc_jobs(layer_map(spark), 50000)
+
+
 # --- telemetry -----------------------------------------------------------------------------------
 
 
@@ -679,6 +696,23 @@ def fn_ulid(spark, sf):
     return table(spark, sf, "events").select("event_id", fn.ulid_millis(fn.ulid_prefix(m)).alias("millis"))
 
 
+@case("FN_json_schema", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) <= 50 AS valid FROM events")
+def fn_json_schema(spark, sf):
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 50}}}
+    return table(spark, sf, "events").select("event_id", is_valid(schema, F.col("props")).alias("valid"))
+
+
+@case("P12_regex_match", "SELECT page_id FROM pages WHERE regexp_matches(url, '^https://m[.].*[.](com|net)/')")
+def p12(spark, sf):
+    return table(spark, sf, "pages").where(F.col("url").rlike("^https://m[.].*[.](com|net)/")).select("page_id")
+
+
+@case("FN_binary_vectors", "SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS bits, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS l1 FROM embeddings")
+def fn_bits(spark, sf):
+    zeros = F.transform("embedding", lambda x: F.lit(0.0))
+    return table(spark, sf, "embeddings").select("vec_id", fn.sign_bits(F.col("embedding")).alias("bits"), F.round(fn.l1_distance(F.col("embedding"), zeros), 6).alias("l1"))
+
+
 @case("S21_table_sample")
 def s21(spark, sf):
     return table(spark, sf, "orders").sample(0.1, seed=3).select("o_orderkey")

@@ -116,3 +116,39 @@ def windowed_counts(events: DataFrame, length: str, late: str | None = None) ->
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def subscribe(messages: DataFrame, stream: int | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """Messages (stream, kind, ...) of one stream or all, of the wanted kinds; works on streams too."""
+    out = messages if stream is None else messages.where(F.col("stream") == stream)
+    return out if kinds is None else out.where(F.col("kind").isin(kinds))
+
+
+def ingest(path: str, by: str = "stream") -> object:
+    """For ``foreachBatch``: append a micro-batch of (stream, lsn, ...) to Parquet, one folder a batch, so that a replay replaces itself.
+
+    A batch that goes back behind what earlier batches stored is refused: the log is ordered.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        low = batch.groupBy(by).agg(F.min("lsn").alias("low"))
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            stored = spark.read.parquet(path).where(F.col("batch") < batch_id).groupBy(by).agg(F.max("lsn").alias("high"))
+            if not low.join(stored, by).where("low < high").isEmpty():
+                raise ValueError(f"batch {batch_id} goes back in the log")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def request_log(requests: DataFrame, path: str, checkpoint: str, every: str = "1 minute", rows_per_file: int = 100_000) -> object:
+    """Start writing a stream of request rows as Parquet files, closed by size or age."""
+    return requests.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows_per_file).trigger(processingTime=every).start()
+
+
+def reached(path_rows: DataFrame, lsn: int) -> bool:
+    """Whether stored rows have reached a position: the test of a read-your-writes barrier."""
+    top = path_rows.agg(F.max("lsn")).first()[0]
+    return top is not None and top >= lsn

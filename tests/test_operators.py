@@ -136,6 +136,29 @@ def test_metering_sink_replays(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).count() == 25
 
 
+def test_ingest_refuses_to_go_back(spark, tmp_path):
+    write = log.ingest(str(tmp_path / "log"))
+    rows = lambda *v: spark.createDataFrame([(1, x) for x in v], "stream long, lsn long")
+    write(rows(1, 2, 3), 0)
+    write(rows(3, 4), 1)
+    write(rows(3, 4), 1)
+    with pytest.raises(ValueError):
+        write(rows(2), 2)
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    assert stored.count() == 5 and log.reached(stored, 4) and not log.reached(stored, 5)
+    assert log.subscribe(stored.withColumn("kind", F.lit("a")), 1, ["a"]).count() == 5
+
+
+def test_json_schema():
+    from chronofold.functions.json_schema import errors
+
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"enum": ["x"]}, "maxItems": 2}}, "additionalProperties": False}
+    assert errors(schema, {"a": 2, "b": ["x"]}) == []
+    assert errors(schema, {"a": 0}) == ["$.a: range"] and errors(schema, []) == ["$: type"]
+    assert errors(schema, {"a": 1, "b": ["x", "y", "x"], "c": 1}) == ["$.b: items", "$.b[1]: enum", "$: additionalProperties c"]
+    assert errors({"not": {"type": "null"}, "anyOf": [{"type": "string"}, {"const": 3}]}, 3) == []
+
+
 def test_l0_run_stops_at_a_hole(spark):
     d = spark.createDataFrame([(1, 0, 10), (2, 10, 20), (3, 25, 30), (4, 30, 40)], "id long, lsn_start long, lsn_end long")
     assert [r.id for r in layers.contiguous_l0(d).orderBy("id").collect()] == [1, 2]
