@@ -2,45 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.operators.ordered import with_next, with_running
+
 
 def coalesce_ranges(ranges: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Overlapping and adjacent ranges merged (gaps and islands), within each ``by`` group."""
-    by = by or []
-    parts = by or [F.lit(0)]
-    w = Window.partitionBy(*parts).orderBy("start", "end")
+    """Overlapping and adjacent ranges merged (gaps and islands), within each ``by`` group or over one keyspace."""
+    if not by:
+        return _covered(_sweep(ranges, None), F.col("na") > 0, F.col("na") > F.col("da"))
+    w = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = ranges.where("start < end").withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
     islands = flagged.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(*by, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return coalesce_ranges(a.select("start", "end").unionByName(b.select("start", "end")))
-
-
-def _pieces(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Elementary ranges between all ends of ``a`` and ``b``, with how often each side covers them: one sort, no join."""
+def _sweep(a: DataFrame, b: DataFrame | None) -> DataFrame:
+    """All ends ``p`` of ``a`` and ``b``, with how often each side covers the keys from there on (``na, nb``), and the steps (``da, db``) that led to it."""
     ends = None
     for df, side in ((a, "a"), (b, "b")):
-        for at, step in (("start", 1), ("end", -1)):
+        for at, step in (("start", 1), ("end", -1)) if df is not None else ():
             one = df.where("start < end").select(F.col(at).alias("p"), F.lit(step if side == "a" else 0).alias("da"), F.lit(step if side == "b" else 0).alias("db"))
             ends = one if ends is None else ends.unionByName(one)
-    at = ends.groupBy("p").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = Window.orderBy("p")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return at.select(F.col("p").alias("start"), F.lead("p").over(w).alias("end"), F.sum("da").over(run).alias("na"), F.sum("db").over(run).alias("nb")).where("end is not null")
+    return with_running(ends.groupBy("p").agg(F.sum("da").alias("da"), F.sum("db").alias("db")), "p", {"da": "na", "db": "nb"})
+
+
+def _covered(swept: DataFrame, inside: Column, was_inside: Column) -> DataFrame:
+    """The maximal ranges where a condition on a sweep holds; ``was_inside`` is the condition just before an end."""
+    turns = swept.where(inside != was_inside).select("p", inside.alias("starts"))
+    return with_next(turns, "p", "end").where("starts").select(F.col("p").alias("start"), "end")
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    return coalesce_ranges(a.select("start", "end").unionByName(b.select("start", "end")))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return coalesce_ranges(_pieces(a, b).where("na > 0 and nb > 0").select("start", "end"))
+    was_a, was_b = F.col("na") > F.col("da"), F.col("nb") > F.col("db")
+    return _covered(_sweep(a, b), (F.col("na") > 0) & (F.col("nb") > 0), was_a & was_b)
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """What of ``a`` is outside ``b``; :func:`intersect` is the removed part."""
-    return coalesce_ranges(_pieces(a, b).where("na > 0 and nb = 0").select("start", "end"))
+    was_a, was_b = F.col("na") > F.col("da"), F.col("nb") > F.col("db")
+    return _covered(_sweep(a, b), (F.col("na") > 0) & (F.col("nb") == 0), was_a & ~was_b)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
@@ -56,8 +63,7 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
 
 def stack_depth(layers: DataFrame) -> DataFrame:
     """``start, end, depth``: how many layers lie over each elementary key range (a sweep of +1 and -1)."""
-    none = layers.select("start", "end").limit(0)
-    return _pieces(layers.select("start", "end"), none).where("na > 0").select("start", "end", F.col("na").alias("depth"))
+    return with_next(_sweep(layers, None), "p", "end").where("na > 0").select(F.col("p").alias("start"), "end", F.col("na").alias("depth"))
 
 
 def image_triggers(deltas: DataFrame, threshold: int = 3) -> DataFrame:
@@ -67,8 +73,7 @@ def image_triggers(deltas: DataFrame, threshold: int = 3) -> DataFrame:
 
 def widest_holes(keys: DataFrame, least: int, n: int) -> DataFrame:
     """The ``n`` widest gaps of at least ``least`` between neighbouring keys."""
-    w = Window.orderBy("key")
-    gaps = keys.select("key").distinct().select("key", F.lead("key").over(w).alias("next"))
+    gaps = with_next(keys.select("key").distinct(), "key")
     return gaps.where(F.col("next") - F.col("key") >= least).select("key", "next", (F.col("next") - F.col("key")).alias("gap")).orderBy(F.desc("gap"), "key").limit(n)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.operators.keyspace import overlap_join
+from chronofold.operators.ordered import with_next, with_running
 
 
 def select_layer(layers: DataFrame, probes: DataFrame, width: int) -> DataFrame:
@@ -24,7 +25,7 @@ def image_coverage(layers: DataFrame, at: int) -> DataFrame:
     """The newest image at or below ``at`` over each elementary key range: ``start, end, image_lsn``."""
     images = layers.where((F.col("kind") == "image") & (F.col("lsn_start") <= at)).select("start", "end", "lsn_start")
     cuts = images.select(F.explode(F.array("start", "end")).alias("start")).distinct()
-    pieces = cuts.select("start", F.lead("start").over(Window.orderBy("start")).alias("end")).where("end is not null")
+    pieces = with_next(cuts, "start", "end").where("end is not null")
     return overlap_join(pieces, images, 100).groupBy(F.col("a_start").alias("start"), F.col("a_end").alias("end")).agg(F.max("b_lsn_start").alias("image_lsn"))
 
 
@@ -109,8 +110,7 @@ def identify_level(layers: DataFrame, end: int) -> DataFrame:
     """
     below = layers.where(F.col("lsn_end") <= end)
     marks = below.select(F.explode(F.array(F.struct(F.col("lsn_start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("lsn_end").alias("p"), F.lit(-1).alias("d")))).alias("m")).select("m.*").groupBy("p").agg(F.sum("d").alias("d"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = marks.withColumn("open", F.sum("d").over(w)).where("open = 0").select("p")
+    cuts = with_running(marks, "p", {"d": "open"}).where("open = 0").select("p")
     top = F.broadcast(below.agg(F.max("lsn_end").alias("top")))
     cut = cuts.join(top).where("p < top").agg(F.max("p").alias("cut"))
     return below.join(F.broadcast(cut)).where("cut is null or lsn_start >= cut").select("id")

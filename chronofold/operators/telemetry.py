@@ -75,11 +75,22 @@ def eviction_plan(layers: DataFrame, reservation: int) -> DataFrame:
 
 
 def victims(plan: DataFrame, needed: int) -> DataFrame:
-    """The prefix of the eviction order that frees at least ``needed``."""
+    """The prefix of the eviction order that frees at least ``needed``.
+
+    The order is (partition, relative, tenant, id). Sums of 3 x 1001 spans of it say which spans go whole; only the
+    rows of the span where the need is met are sorted.
+    """
     rank = F.when(F.col("partition") == "now", 0).when(F.col("partition") == "above", 1).otherwise(2)
-    ordered = Window.orderBy(rank, "relative", "tenant", "id")
-    freed = F.coalesce(F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return plan.withColumn("freed_before", freed).where(F.col("freed_before") < needed).select("tenant", "id", "size")
+    spanned = plan.withColumn("_span", rank * 1001 + F.floor(F.col("relative") * 1000))
+    sums = spanned.groupBy("_span").agg(F.sum("size").alias("s"))
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # at most 3003 rows
+    offsets = sums.select("_span", "s", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_before")).where(F.col("_before") < needed)
+    chosen = spanned.join(F.broadcast(offsets), "_span")
+    whole = chosen.where(F.col("_before") + F.col("s") < needed).select("tenant", "id", "size")
+    ordered = Window.partitionBy("_span").orderBy("relative", "tenant", "id")
+    edge = chosen.where(F.col("_before") + F.col("s") >= needed)
+    freed = F.col("_before") + F.coalesce(F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return whole.unionByName(edge.withColumn("_freed", freed).where(F.col("_freed") < needed).select("tenant", "id", "size"))
 
 
 def place(shards: DataFrame, nodes: DataFrame) -> DataFrame:
