@@ -20,7 +20,8 @@ Each sampled suffix stands for the run of 50-byte strings that chose it. Spark s
 
 What 2 and 3 find is merged into byte runs for each document. Rows of one gram are at most a
 document's few, so no key holds more than a small share; runs of equal bytes ("=====") are folded
-into one row. Names are 64 and 104 bits wide when equality decides (the gram's name and 40 bits of the run's).
+into one row. Names are 104 bits wide when equality decides: 64 of the gram and 40 of the run, or 64 and 40 of the
+two ranks of a string; the other 24 bits of that word hold a run's length or a position's low bits.
 
 Defined results: null texts are empty; rows that repeat a doc_id are one document's texts: they
 never repeat each other; rows without a doc_id are compared with nothing and stay whole.
@@ -40,6 +41,7 @@ LENGTH = 50
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 MORE_BITS = 24  # of a run's length, beside the 40 bits of its name
+AT_BITS = 24  # of a string's position, beside the 40 bits of its second rank; the higher ones have a column
 CHUNK_BYTES = 4 << 20
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -139,7 +141,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _strings(batch: dict) -> dict:
-    """The 50-byte strings of runs, as pairs of ranks of 25 bytes at offsets 0 and +25."""
+    """The 50-byte strings of runs, as pairs of ranks of 25 bytes at offsets 0 and +25; the latter shares its word with the position."""
     out: list[list[np.ndarray]] = [[], [], [], []]
     half = LENGTH // 2
     data, offsets = text_bytes(batch["text"])
@@ -157,9 +159,10 @@ def _strings(batch: dict) -> dict:
         out[0].append(named.of(s, s + half))
         out[1].append(named.of(s + half, s + LENGTH))
         out[2].append(np.full(len(s), doc_id, np.int64))
-        out[3].append(s.astype(np.int32))
+        out[3].append(s)
     a, b, d, s = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-    return {"r0": pa.array(a.view(np.int64)), "r25": pa.array(b.view(np.int64)), "doc_id": pa.array(d), "s": pa.array(s.astype(np.int32))}
+    low = (1 << AT_BITS) - 1
+    return {"r0": pa.array(a.view(np.int64)), "r25_at": pa.array((b.view(np.int64) & ~low) | (s & low)), "doc_id": pa.array(d), "far": pa.array((s >> AT_BITS).astype(np.int32))}
 
 
 def _cover(batch: dict) -> dict:
@@ -223,9 +226,13 @@ def _shared_runs(docs: DataFrame) -> DataFrame:
 def _repeated_strings(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The doubling step over open runs: starts of strings that an earlier document holds; a cut table."""
     open_ = found.where("not settled").groupBy("doc_id").agg(_as_runs().alias("runs"))
-    pairs = arrow_map(docs.join(open_.hint("merge"), "doc_id").select("doc_id", "text", "runs"), _strings, "r0 bigint, r25 bigint, doc_id bigint, s int")
+    pairs = arrow_map(docs.join(open_.hint("merge"), "doc_id").select("doc_id", "text", "runs"), _strings, "r0 bigint, r25_at bigint, doc_id bigint, far int")
+    r25 = F.shiftrightunsigned("r25_at", AT_BITS)
+    # Dealt by the pair of ranks before the second is unpacked, so that rows stay narrow.
+    pairs = pairs.repartition("r0", r25).withColumn("r25", r25)
+    at = F.shiftleft("far", AT_BITS) + F.col("r25_at").bitwiseAND(F.lit((1 << AT_BITS) - 1)).cast("int")
     by_pair = Window.partitionBy("r0", "r25")
-    return cut(pairs.withColumn("first", F.min("doc_id").over(by_pair)).where("doc_id > first").select("doc_id", F.col("s").alias("lo"), F.lit(0).alias("more")), "doubled")
+    return cut(pairs.withColumn("first", F.min("doc_id").over(by_pair)).where("doc_id > first").select("doc_id", at.alias("lo"), F.lit(0).alias("more")), "doubled")
 
 
 def digest(kept: DataFrame) -> DataFrame:
