@@ -10,10 +10,10 @@
    corrected for registers that collide by chance, and what is clearly below the threshold goes.
 4. *Verification* compares the whole sets of what remains: 100 * shared >= percent * union.
 5. *The rest, exactly*: classes connected by shared bands form clusters. Where verification left several
-   components in a cluster, every class outside its largest component is compared, block by
-   block, with the classes of the others, first by registers and then by whole sets; only
-   links that join components leave a block. So every candidate pair has been compared or is connected already,
-   without listing all pairs of a group.
+   components in a cluster, every class outside its largest component is compared with the classes of the
+   others, first by registers and then by whole sets. Both sides are dealt into blocks of bounded size, and a task
+   holds one block against one other; only links that join components leave it. So every candidate pair has been
+   compared or is connected already, without listing all pairs of a group.
 
 With 25 bands of 5 registers a pair at similarity 0.85 is missed with probability 5e-7.
 
@@ -42,8 +42,9 @@ VALUE_BITS = 40
 ROUNDS = 12
 #: An estimate below the threshold by this (over five standard errors) rules a candidate out.
 SLACK = 0.22
-#: Rows of a band group that one task compares at once.
+#: Rows, and shingles of all of them, on each side of what one task compares at once.
 BLOCK = 2000
+BLOCK_SHINGLES = 2_000_000
 
 
 def sketch(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -154,18 +155,18 @@ def _passing(percent: int):
 
 
 def _across(percent: int):
-    """Links that join different components in one block of a cluster: no more than connect them.
+    """Links that join different components, from one block of a cluster against one other: no more than connect them.
 
-    A row outside the cluster's main component is compared with the rows at home in this block
+    A row of the left block, all outside the cluster's main component, is compared with the rows of the right one
     by registers, and by whole sets where the estimate passes and nothing found here links them yet.
     """
 
     def compare(table):
-        comps, n, home = (table.column(c).to_numpy() for c in ("comp", "n", "home"))
+        comps, n, block = (table.column(c).to_numpy() for c in ("comp", "n", "block"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
         words = [np.frombuffer(w.as_buffer(), np.uint64) for w in table.column("words")]
         outside = table.column("outside").to_numpy(zero_copy_only=False)
-        here = np.flatnonzero(home == table.column("block")[0].as_py())
+        here = np.flatnonzero(block == table.column("right")[0].as_py())
         up: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -174,7 +175,7 @@ def _across(percent: int):
             return c
 
         out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(outside):
+        for i in np.flatnonzero(outside & (block == table.column("left")[0].as_py())):
             e = estimate(regs[i][None, :], regs[here], n[i].astype(float), n[here].astype(float))
             for j in here[(e >= percent / 100 - SLACK) & (comps[here] != comps[i])].tolist():
                 x, y = root(int(comps[i])), root(int(comps[j]))
@@ -186,6 +187,26 @@ def _across(percent: int):
     return compare
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of mixed clusters, each once for every (left, right) pair of blocks that compares it.
+
+    Blocks 0 to o - 1 hold the classes outside the main component, blocks o to o + m - 1 those of it; a small
+    cluster is block 0. Left is a block of the first kind, right the same or a later block.
+    """
+    blocks = lambda size, weight: F.ceil(F.greatest(size / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
+    at = rows.withColumn("outside", F.col("comp") != F.col("main.comp"))
+    small = blocks(F.col("size"), F.col("weight")) == 1
+    at = at.withColumn("o", F.when(small, 1).otherwise(blocks(F.col("size") - F.col("main.c"), F.col("weight") - F.col("main.w"))))
+    at = at.withColumn("m", F.when(small, 0).otherwise(blocks(F.col("main.c"), F.col("main.w"))))
+    home = F.when(F.col("m") == 0, 0).when(F.col("outside"), F.pmod(F.xxhash64("rep"), F.col("o"))).otherwise(F.col("o") + F.pmod(F.xxhash64("rep"), F.col("m")))
+    at = at.withColumn("block", home.cast("int"))
+    pair = lambda left, right: F.struct(left.alias("left"), right.alias("right"))
+    as_left = F.transform(F.sequence(F.col("block"), F.col("o") + F.col("m") - 1), lambda j: pair(F.col("block"), j))
+    as_right = lambda last: F.transform(F.filter(F.sequence(F.lit(0), F.col("o") - 1), lambda i: i < last), lambda i: pair(i, F.col("block")))
+    pairs = F.when(F.col("m") == 0, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("outside"), F.concat(as_left, as_right(F.col("block")))).otherwise(as_right(F.col("o")))
+    return at.withColumn("p", F.explode(pairs)).select("cluster", "p.left", "p.right", "block", "comp", "n", "regs", "words", "outside")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; see the module's text."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -211,14 +232,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     release(spark)
 
     # Clusters of candidates that still hold several components.
-    placed = cut(clusters.join(labels.toDF("rep", "root"), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("comp")), "placed")
-    per_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
-    mixed = per_comp.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1").select("cluster", "main", "size")
-    rows = placed.join(mixed, "cluster").join(facts, "rep").join(sets, "rep").withColumn("outside", F.col("comp") != F.col("main"))
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    # A class outside the main component goes to every block of its cluster, the others only home.
-    spread = rows.withColumn("home", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("block", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), n_blocks - 1)).otherwise(F.array("home"))))
-    late = spread.select("cluster", "block", "home", "comp", "n", "regs", "words", "outside").groupBy("cluster", "block").applyInArrow(_across(percent), "a bigint, b bigint")
+    placed = cut(clusters.join(labels.toDF("rep", "root"), "rep", "left").join(classes.select("rep", "n"), "rep").select("cluster", "rep", "n", F.coalesce("root", "rep").alias("comp")), "placed")
+    per_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    mixed = per_comp.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("c", "comp", "w")).alias("main")).where("comps > 1")
+    rows = placed.join(mixed, "cluster").join(facts.select("rep", "regs"), "rep").join(sets, "rep")
+    late = _dealt(rows).groupBy("cluster", "left", "right").applyInArrow(_across(percent), "a bigint, b bigint")
     roots = components(late)
     up = roots.toDF("root", "up")
     final = placed.withColumnRenamed("comp", "root").join(up, "root", "left").select("rep", F.coalesce("up", "root").alias("root"))

@@ -76,6 +76,35 @@ def test_near_duplicates_blocks_are_exact(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_near_duplicates_hold_bounded_blocks(spark, monkeypatch):
+    """A template at a similarity of about 0.6 joins all rows by bands but links few of them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(160)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for at in rng.sample(range(160), rng.randint(2, 5)):
+            w[at] = word()
+        rows.append((k, " ".join(w)))
+
+    def guarded(percent, real=near_dup._across):
+        compare = real(percent)
+
+        def held(table):
+            assert table.num_rows <= 60, table.num_rows
+            return compare(table)
+
+        return held
+
+    monkeypatch.setattr(near_dup, "BLOCK", 10)
+    monkeypatch.setattr(near_dup, "_across", guarded)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    want = brute_components(rows, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+    assert len({c for _, c, _ in want.values()}) > 60
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame([(None, "a b c d e f")], "doc_id long, text string")).collect()] == [(None, 2, None, True)]
