@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.operators.keyspace import overlap_join
-from chronofold.operators.ordered import with_next, with_running
+from chronofold.operators.ordered import with_next, with_previous, with_running
 
 
 def select_layer(layers: DataFrame, probes: DataFrame, width: int) -> DataFrame:
@@ -70,10 +70,10 @@ def gc_cutoffs(inputs: DataFrame) -> DataFrame:
 
 def contiguous_l0(layers: DataFrame) -> DataFrame:
     """The leading run of level-0 deltas whose positions follow on: ``id, lsn_start, lsn_end``."""
-    w = Window.orderBy("lsn_start", "id")
-    follows = F.when(F.lag("lsn_end").over(w).isNull() | (F.lag("lsn_end").over(w) == F.col("lsn_start")), 0).otherwise(1)
-    broken = F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return layers.withColumn("_b", follows).withColumn("_s", broken).where("_s = 0").select("id", "lsn_start", "lsn_end")
+    at = F.struct("lsn_start", "id")
+    after = with_previous(layers.select("id", "lsn_start", "lsn_end"), "lsn_start", "id", "lsn_end", "_before")
+    hole = after.where(F.col("_before") != F.col("lsn_start")).agg(F.min(at).alias("_hole"))
+    return layers.join(F.broadcast(hole)).where(F.col("_hole").isNull() | (at < F.col("_hole"))).select("id", "lsn_start", "lsn_end")
 
 
 def evict_idle(layers: DataFrame, now: int, visible_ttl: int, covered_ttl: int) -> DataFrame:
@@ -118,6 +118,6 @@ def identify_level(layers: DataFrame, end: int) -> DataFrame:
 
 def gc_jobs(layers: DataFrame, target: int) -> DataFrame:
     """Key ranges for bottom-most compaction jobs: ``job, start, end, bytes``, split where the layers' sizes by key pass multiples of ``target``."""
-    w = Window.orderBy("start", "id")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return layers.withColumn("job", F.floor(before / target).cast("bigint")).groupBy("job").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("size").alias("bytes"))
+    sized = layers.withColumn("_size", F.coalesce("size", F.lit(0)))
+    before = F.col("_upto") - F.col("_size")
+    return with_running(sized, "start", {"_size": "_upto"}, "id").withColumn("job", F.floor(before / target).cast("bigint")).groupBy("job").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("size").alias("bytes"))

@@ -28,13 +28,22 @@ def with_next(df: DataFrame, key: str, out: str = "next") -> DataFrame:
     return at.join(F.broadcast(after), "_bucket").withColumn(out, F.coalesce(inside, "_after")).drop("_bucket", "_after")
 
 
-def with_running(df: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
-    """Adds, for each column and output name, the sum of the column over rows up to and including ``key`` (distinct)."""
+def with_previous(df: DataFrame, key: str, tie: str, value: str, out: str) -> DataFrame:
+    """Adds ``value`` of the row before in the order of ``key`` and ``tie`` (distinct together); null for the first."""
+    at = _bucketed(df, key)
+    last = at.groupBy("_bucket").agg(F.max(F.struct(key, tie, value)).alias("_last"))
+    before = last.select("_bucket", F.lag(F.col("_last")[value]).over(Window.orderBy("_bucket")).alias("_before"))  # at most BUCKETS rows
+    run = Window.partitionBy("_bucket").orderBy(key, tie)
+    return at.join(F.broadcast(before), "_bucket").withColumn(out, F.when(F.row_number().over(run) == 1, F.col("_before")).otherwise(F.lag(value).over(run))).drop("_bucket", "_before")
+
+
+def with_running(df: DataFrame, key: str, values: dict[str, str], tie: str | None = None) -> DataFrame:
+    """Adds, for each column and output name, the sum of the column over rows up to and including ``key`` (distinct, or with ``tie``)."""
     at = _bucketed(df, key)
     sums = at.groupBy("_bucket").agg(*[F.sum(c).alias(f"_s{k}") for k, c in enumerate(values)])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
     offsets = sums.select("_bucket", *[F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_o{k}") for k in range(len(values))])
-    run = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("_bucket").orderBy(key, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
     joined = at.join(F.broadcast(offsets), "_bucket")
     for k, (c, out) in enumerate(values.items()):
         joined = joined.withColumn(out, F.col(f"_o{k}") + F.sum(c).over(run))

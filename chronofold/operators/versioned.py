@@ -111,37 +111,25 @@ def retained(history: DataFrame, retain: list[int], horizon: int, threshold: int
     Versions fall into buckets by the first retain point (or the horizon) at or above them; versions above the
     horizon all stay. In each lower bucket the newest version's position must stay readable: the lowest bucket ends in an image;
     a later bucket keeps its deltas until ``threshold`` deltas have gathered since the last image, where it ends in an image instead.
-    Runs key by key, as the counter depends on what was decided before.
+    The counter depends on what was decided before, so it runs over one row a bucket of a key, never over versions.
     """
     points = sorted({p for p in retain if p < horizon} | {horizon})
-
-    def prune(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["lsn", "will_init"], ascending=[True, False]).drop_duplicates("lsn")
-        out, since, first = [], 0, True
-        low = None
-        for p in points:
-            part = pdf[(pdf.lsn <= p) & ((pdf.lsn > low) if low is not None else True)]
-            low = p
-            if part.empty:
-                continue
-            images = part[part.will_init]
-            if len(images):
-                part, since = part[part.lsn >= images.lsn.iloc[-1]], 0
-            deltas = int((~part.will_init).sum())
-            if first or len(images) and deltas == 0 or since + deltas >= threshold:
-                out.append((part.lsn.iloc[-1], "image"))
-                since = 0
-            else:
-                out += [(x, "image" if i else "delta") for x, i in zip(part.lsn, part.will_init)]
-                since += deltas
-            first = False
-        above = pdf[pdf.lsn > points[-1]]
-        out += [(x, "image" if i else "delta") for x, i in zip(above.lsn, above.will_init)]
-        return pd.DataFrame({"key": [pdf.key.iloc[0]] * len(out), "lsn": [int(x) for x, _ in out], "form": [f for _, f in out]})
-
-    from chronofold.session import ship
-
-    ship(history.sparkSession)
-    return history.select("key", "lsn", "will_init").groupBy("key").applyInPandas(prune, "key bigint, lsn bigint, form string")
+    bucket = F.array_min(F.filter(F.array(*[F.lit(p).cast("bigint") for p in points]), lambda p: p >= F.col("lsn")))
+    versions = history.where("lsn is not null").groupBy(F.col("key").cast("bigint").alias("key"), F.col("lsn").cast("bigint").alias("lsn")).agg(F.max("will_init").alias("will_init")).withColumn("bucket", bucket)
+    own = F.when(F.col("will_init"), "image").otherwise("delta")
+    lower = versions.where("bucket is not null")
+    images = lower.where("will_init").groupBy("key", "bucket").agg(F.max("lsn").alias("image"))
+    live = lower.join(images, ["key", "bucket"], "left").where("image is null or lsn >= image")
+    sums = live.groupBy("key", "bucket").agg(F.max("lsn").alias("last"), F.count("image").alias("images"), F.count(F.when(~F.col("will_init"), 1)).alias("deltas"))
+    steps = sums.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("bucket", "last", "images", "deltas"))).alias("steps"))  # a row a point at most
+
+    def decide(state, x):
+        since = F.when(x["images"] > 0, F.lit(0).cast("bigint")).otherwise(state["since"]) + x["deltas"]
+        ends = (F.size(state["done"]) == 0) | ((x["images"] > 0) & (x["deltas"] == 0)) | (since >= threshold)
+        done = F.concat(state["done"], F.array(F.struct(x["bucket"].alias("bucket"), x["last"].alias("last"), ends.alias("ends"))))
+        return F.struct(F.when(ends, F.lit(0).cast("bigint")).otherwise(since).alias("since"), done.alias("done"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("since"), F.array().cast("array<struct<bucket:bigint,last:bigint,ends:boolean>>").alias("done"))
+    decided = steps.select("key", F.explode(F.aggregate("steps", start, decide)["done"]).alias("d")).select("key", "d.*")
+    kept = live.join(decided, ["key", "bucket"]).where("not ends or lsn = last").select("key", "lsn", F.when(F.col("ends"), "image").otherwise(own).alias("form"))
+    return kept.unionByName(versions.where("bucket is null").select("key", "lsn", own.alias("form")))

@@ -164,6 +164,64 @@ def test_l0_run_stops_at_a_hole(spark):
     assert [r.id for r in layers.contiguous_l0(d).orderBy("id").collect()] == [1, 2]
 
 
+def brute_retained(rows, points, threshold):
+    out = []
+    for key in sorted({k for k, _, _ in rows}):
+        at: dict = {}
+        for k, x, i in rows:
+            if k == key:
+                at[x] = at.get(x, False) or i
+        since, first, low = 0, True, -1
+        for p in points:
+            part, low = [x for x in sorted(at) if low < x <= p], p
+            if not part:
+                continue
+            images = [x for x in part if at[x]]
+            if images:
+                part, since = [x for x in part if x >= images[-1]], 0
+            deltas = sum(not at[x] for x in part)
+            if first or images and not deltas or since + deltas >= threshold:
+                out.append((key, part[-1], "image"))
+                since = 0
+            else:
+                out += [(key, x, "image" if at[x] else "delta") for x in part]
+                since += deltas
+            first = False
+        out += [(key, x, "image" if at[x] else "delta") for x in sorted(at) if x > points[-1]]
+    return sorted(out)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_retention_needs_no_whole_history(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.randint(0, 130), rng.random() < 0.12) for k in range(30) for _ in range(rng.randint(1, 60))]
+    got = versioned.retained(spark.createDataFrame(rows, "key long, lsn long, will_init boolean"), [20, 40, 41, 70, 90], 100, 6)
+    assert sorted(map(tuple, got.collect())) == brute_retained(rows, [20, 40, 41, 70, 90, 100], 6)
+    assert "Pandas" not in plan(got)
+
+
+def test_layer_orders_need_no_single_task(spark):
+    rng = random.Random(10)
+    rows = [(i, 10 * (i // 2), 10 * (i // 2) + 50, rng.randint(1, 900)) for i in range(400)]
+    got = layers.gc_jobs(spark.createDataFrame(rows, "id long, start long, end long, size long"), 5000)
+    want, before = {}, 0
+    for _, s, e, z in rows:
+        a = want.setdefault(before // 5000, [s, e, 0])
+        a[0], a[1], a[2] = min(a[0], s), max(a[1], e), a[2] + z
+        before += z
+    assert {r.job: [r.start, r.end, r.bytes] for r in got.collect()} == want
+    for hole in (0, 1, 150, 299, 300):  # the layer of this number starts late
+        d = [(300 - i, 10 * i + (3 if i >= hole else 0), 10 * i + 10 + (3 if i >= hole else 0)) for i in range(300)]
+        run = layers.contiguous_l0(spark.createDataFrame(d, "id long, lsn_start long, lsn_end long"))
+        assert run.count() == (hole or 300)
+    # No window over rows: those without a partition read one row a bucket.
+    for df in (got, run):
+        assert "windowspecdefinition(start" not in plan(df) and "windowspecdefinition(lsn_start" not in plan(df)
+
+
 def test_entry_and_registry_without_llm(spark):
     import __spark_entry__ as entry
 
