@@ -222,6 +222,16 @@ def test_layer_orders_need_no_single_task(spark):
         assert "windowspecdefinition(start" not in plan(df) and "windowspecdefinition(lsn_start" not in plan(df)
 
 
+def test_record_fold_query_reads_all_events(spark, sf_dir):
+    from chronofold import registry
+
+    values: dict = {}
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect():
+        value = values.get(r.user_id, "")
+        values[r.user_id] = "" if r.event_type == "signup" else value if r.event_type == "error" and len(value) % 2 else value + str(r.event_id % 100)
+    assert {r.key: r.value for r in registry.queries()["F03_test_record_fold"](spark, sf_dir).collect()} == values
+
+
 def test_entry_and_registry_without_llm(spark):
     import __spark_entry__ as entry
 
