@@ -4,7 +4,7 @@ A page is scanned once into a tree of block elements. Every paragraph-like block
 for its length and its commas; an element's score is what its own paragraphs earn plus half of
 each child element's score, times one minus its link density, so that points fade on their way to the ancestors. The
 best-scoring element is the article; siblings that score near it, or that are plain paragraphs,
-are kept with it. Elements that are menus, site headers, footers, sidebars, notices, adverts,
+are kept with it. Where that element lies in an article or main element, the innermost of these is the article. Elements that are menus, site headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or reader comments by tag, role or class never count.
 
 Defined results: null or empty HTML gives an empty text; a page without any paragraph gives
@@ -234,6 +234,12 @@ def extract_text(source: str | None) -> str:
             best = node
     if best is None:
         best = root
+    bar = best.score
+    around = best
+    while around is not None and around.tag not in ("article", "main"):
+        around = around.parent
+    if around is not None:  # a wrapper gets half of its children's scores; nothing of an article goes for that
+        best = around
     tops = [best]
     if best.parent is not None:
         seen = False
@@ -243,7 +249,7 @@ def extract_text(source: str | None) -> str:
                 continue
             density = kid.links / kid.chars if kid.chars else 1.0
             plain = kid.tag in ("p", "pre", "blockquote") and density < 0.25 and kid.chars > 0
-            if plain or kid.score >= max(3.0, 0.2 * best.score) and density < 0.5 or not seen and kid.tag in ("h1", "h2") and density < 0.5:
+            if plain or kid.score >= max(3.0, 0.2 * bar) and density < 0.5 or not seen and kid.tag in ("h1", "h2") and density < 0.5:
                 tops.append(kid)
     for top in tops:
         todo2 = [(top, False)]

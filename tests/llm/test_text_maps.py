@@ -28,6 +28,14 @@ def test_html_rules():
     assert html_extract.extract_text("<article><p>a, b</article><!-- open <p>c") == "a, b"
 
 
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_html_article_keeps_its_short_parts(tag):
+    long, short = "\n".join("word, " * 90 + "end." for _ in range(3)), "Short, but of the article."
+    part = lambda text: f"<{tag}>" + "".join(f"<p>{p}</p>" for p in text.split("\n")) + f"</{tag}>"
+    page = f"<body><article>{part(long)}{part(short)}<nav><p>Menu, of links.</p></nav></article></body>"
+    assert html_extract.extract_text(page) == f"{long}\n{short}"
+
+
 def test_html_long_and_deep():
     assert html_extract.extract_text("<div>" * 5000 + "<p>deep, text</p>").endswith("deep, text")
     long = " ".join(["word,"] * 50_000)
