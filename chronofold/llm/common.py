@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 from chronofold.session import ship, table  # noqa: F401
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: Spark's setting to delete a statement's shuffle files when it ends, rather than at some later collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +33,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage so that a lost executor costs a reread, not a recomputation. The
-    tables are deleted when the driver's Python ends, or earlier by :func:`drop_cuts`.
+    tables are deleted when the driver's Python ends, or earlier by :func:`drop_cuts`. Spark
+    drops the write's shuffle files at its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,17 +55,6 @@ def drop_cuts(spark: SparkSession, *frames: DataFrame) -> None:
             _delete(spark, name)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished work now rather than at some later collection.
-
-    Frames over that work must be out of scope. The second round collects what the first one's cleaning let go of.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import arrow_map, cut, mix64, release
+from chronofold.llm.common import arrow_map, cut, mix64
 from chronofold.llm.graph import components
 from chronofold.llm.shingles import shingle_sets
 
@@ -210,7 +210,6 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; see the module's text."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
     signed = cut(arrow_map(docs, _signatures, "doc_id bigint, n bigint, set_key binary, regs binary, bands array<bigint>"), "sketches")
     classes = cut(signed.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
@@ -220,16 +219,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # Texts move once, by a join that shuffles at every size, so that cost grows in proportion.
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(clusters.select("rep").hint("merge"), "rep")
     sets = cut(arrow_map(texts, _packed_sets, "rep bigint, words binary").dropDuplicates(["rep"]), "sets")
-    del texts
-    release(spark)
 
     facts = classes.select("rep", "n", "regs")
     rated = first.join(facts.toDF("a", "na", "ra"), "a").join(facts.toDF("b", "nb", "rb"), "b")
     passed = cut(arrow_map(rated.select("a", "b", "na", "nb", "ra", "rb"), _passing(percent), "a bigint, b bigint, good boolean").where("good").select("a", "b"), "passed")
     both = passed.join(sets.toDF("b", "wb"), "b").join(sets.toDF("a", "wa"), "a").select("a", "b", "wa", "wb")
     labels = components(arrow_map(both, _verifier(percent), "a bigint, b bigint, good boolean").where("good").select("a", "b"))
-    del rated, both, heads
-    release(spark)
 
     # Clusters of candidates that still hold several components.
     placed = cut(clusters.join(labels.toDF("rep", "root"), "rep", "left").join(classes.select("rep", "n"), "rep").select("cluster", "rep", "n", F.coalesce("root", "rep").alias("comp")), "placed")

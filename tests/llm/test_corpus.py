@@ -145,7 +145,11 @@ def brute_substrings(rows):
     return sorted(out)
 
 
-def test_substrings_equal_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("hot", [False, True])
+def test_substrings_equal_brute_force(spark, sf_dir, monkeypatch, hot):
+    if hot:  # every gram of two documents is dealt by document too
+        for name, value in (("HOT_SAMPLE", 1), ("HOT_LEAST", 2), ("HOT_SHARE", 10**9)):
+            monkeypatch.setattr(substring_dedup, name, value)
     rng = random.Random(5)
     base = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(4)]
     rows = []
@@ -159,6 +163,15 @@ def test_substrings_equal_brute_force(spark, sf_dir):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_substrings([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_doubling_over_every_suffix(spark):
+    rng = random.Random(8)
+    base = "".join(rng.choice("ab") for _ in range(200))
+    rows = [(i, None if i % 9 == 0 else base[rng.randint(0, 150) :][: rng.randint(0, 90)] + "=" * rng.choice([0, 70])) for i in range(30)]
+    got = {tuple(r) for r in substring_dedup.starts_by_doubling(spark.createDataFrame(rows + [rows[5]], "doc_id long, text string")).collect()}
+    seen = lambda i, x: any(j < i and x in (t or "") for j, t in rows)
+    assert got == {(i, k) for i, t in rows for k in range(len(t or "") - 49) if seen(i, t[k : k + 50])}
+
+
 def test_substrings_without_rows_or_ids(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(None, "x" * 80), (1, "x" * 80), (2, "x" * 80)]
