@@ -6,6 +6,8 @@ greedy search from the medoid proposes neighbours, and pruning keeps a neighbour
 one is closer to it by the factor 1 / ``ALPHA``, so that edges stay diverse; reverse edges are
 pruned alike. Inner products become distances by one more coordinate that makes all norms equal.
 
+Each shard is built in a task of its own: the number of tasks is given, so Spark does not merge them.
+
 *Search.* Query blocks meet every shard; a beam search walks each graph, its candidates are scored again in double precision on
 the original vectors, and a ranked window over the query merges the shards' best.
 
@@ -140,7 +142,7 @@ def _lifted(v: np.ndarray) -> np.ndarray:
 def _build(table):
     raw = table.column("v").combine_chunks()
     dim = len(raw[0])
-    v = raw.flatten().to_numpy().reshape(-1, dim).astype(np.float32)
+    v = raw.flatten().to_numpy().reshape(-1, dim)
     graph, entry = build_graph(_lifted(v))
     ids = table.column("ids").to_pylist()
     counts = np.array([len(i) for i in ids], np.int32)
@@ -148,19 +150,19 @@ def _build(table):
     return pa.table(out, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("vectors", pa.binary()), ("graph", pa.binary()), ("entry", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary())]))
 
 
-def _searcher(k: int):
+def _searcher(k: int, kind: type):
     def search(batches):
         for b in batches:
             for i in range(b.num_rows):
                 row = {n: b.column(c)[i].as_py() for c, n in enumerate(b.schema.names)}
                 dim = row["dim"]
-                v = np.frombuffer(row["vectors"], np.float32).reshape(-1, dim)
+                v = np.frombuffer(row["vectors"], kind).reshape(-1, dim)
                 x = _lifted(v)
                 graph = np.frombuffer(row["graph"], np.int32).reshape(-1, DEGREE).astype(np.int64)
                 counts, ids = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int64)
                 first = np.concatenate(([0], np.cumsum(counts)))
-                q = np.array(row["qv"], np.float32).reshape(-1, dim)
-                lifted = np.concatenate((q, np.zeros((len(q), 1), np.float32)), axis=1)
+                q = np.array(row["qv"], kind).reshape(-1, dim)
+                lifted = np.concatenate((q, np.zeros((len(q), 1))), axis=1).astype(np.float32)
                 found, _ = beam_search(x, graph, row["entry"], lifted, max(SEARCH_LIST, k + 1))
                 out_q, out_v, out_s = [], [], []
                 for r, qid in enumerate(row["qids"]):
@@ -181,7 +183,9 @@ def _searcher(k: int):
 
 
 def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = F.col(vec_col).cast("array<float>")
+    v = F.col(vec_col)  # floats as they are, anything else as doubles: scores are of the original numbers
+    if rows.schema[vec_col].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     fine = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
     return rows.where(fine).select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v"))
 
@@ -193,7 +197,9 @@ def build_index(rows: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame
     few = usable.dropDuplicates(["v", "vec_id"]).withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     nodes = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("v")), "nodes")
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), "shards").cast("int"))
+    n_shards = sizes.agg(F.sum("shards")).first()[0] or 1
+    # A few tasks a shard where there are few, so that hardly two shards meet in one; a shard a task in the mean where there are many.
+    dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), "shards").cast("int")).repartition(max(n_shards, min(8 * n_shards, 2000)), "dim", "shard")
     ship(rows.sparkSession)
     return cut(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, vectors binary, graph binary, entry int, counts binary, ids binary"), "index")
 
@@ -207,7 +213,8 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: i
     tasks = blocks.join(shards, "dim")  # the stated queries, in blocks, against every shard
     work = tasks.join(index, ["dim", "shard"]).repartition(F.col("dim"), F.col("shard"), F.col("block"))
     ship(index.sparkSession)
-    found = work.mapInArrow(_searcher(k), "query_id bigint, vec_id bigint, score double")
+    kind = np.float32 if q.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+    found = work.mapInArrow(_searcher(k, kind), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
