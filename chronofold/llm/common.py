@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,26 @@ def _delete_all() -> None:
             return
 
 
+#: Bytes of strings and binaries that a mapped function is given at once; a longer row comes alone.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES, so that what a function makes of one stays small."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """Map each Arrow batch, given as a dict of Arrow columns, to a dict of columns."""
+    """Map Arrow batches, each given as a dict of Arrow columns, to a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -80,8 +99,8 @@ def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFra
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole):
                 got = fn({n: b.column(i) for i, n in enumerate(b.schema.names)})
                 arrays = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in out]
                 yield pa.RecordBatch.from_arrays(arrays, schema=out)

@@ -9,9 +9,11 @@ Training: the counts come from a sample of whole labelled texts whose expected s
 ``docs_per_lang`` documents of each language (a documented bound; chosen by a hash of
 ``doc_id``, so the same rows give the same model). Counting runs on the executors; the model's
 size is bounded by the sample. A second, disjoint sample of ``calibration_per_lang`` documents
-fits the confidence and the rejection limit.
+fits the confidence and the rejection limits: for each language and each doubling of a text's
+letters, the largest cross-entropy of calibration texts, and pieces of them, of about that many letters, and
+``REJECT_DEVIATIONS`` standard deviations more (``REJECT_BITS`` at least).
 
-Defined results: a null text or one without letters is ``und`` with score 0 and is rejected;
+Defined results: letters are what Unicode calls one (category L); a null text or one without letters is ``und`` with score 0 and is rejected;
 null labels teach nothing; equal cross-entropies go to the alphabetically first language;
 repeated rows are scored alike; without any labelled row every text is ``und``.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,30 +38,30 @@ SPACE = 1  # the symbol of everything that is not a letter; 0 pads nothing and n
 DISCOUNT = 0.75
 DOCS_PER_LANG = 1500
 CALIBRATION_PER_LANG = 200
-#: A rejected text's bits per symbol exceed the calibration texts' 99.9th percentile by this.
-REJECT_SLACK_BITS = 1.0
-#: The limit of a text with n letters is higher by this over sqrt(n): short texts vary more.
-SHORT_SLACK_BITS = 8.0
-
-
-def _symbol_table() -> np.ndarray:
-    """Code point (BMP) to symbol: lower-case a-z keep a code each, other letters share the rest by hash."""
-    table = np.full(65537, SPACE, np.uint8)
-    for cp in range(65536):
-        if unicodedata.category(chr(cp)).startswith(("L", "M")):
-            table[cp] = cp - 97 + 2 if 97 <= cp <= 122 else 28 + (cp * 2654435761 >> 7) % 228
-    table[65536] = 27  # letters and others outside the BMP
-    return table
-
-
-_TABLE: np.ndarray | None = None
-
-
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each text starting and ending with one SPACE, and each text's offset."""
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = _symbol_table()
+#: A text is rejected whose bits per symbol exceed those of all calibration texts of its length by so many standard deviations.
+REJECT_DEVIATIONS = 2.0
+#: ... and by so many bits at least: long texts vary little, but a few hold much that is not prose.
+REJECT_BITS = 0.3
+#: Lengths in code points of the pieces of calibration texts, and how many of each a text gives.
+PIECES, PIECES_OF_TEXT = (6, 12, 24, 48, 96, 192, 384, 768), 4
+LENGTHS = 24  # doublings of letters that have a limit
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the symbol (lower-case a-z keep a code each, other letters and marks share the rest by hash), and whether it is a letter."""
+    table, letter = np.full(0x110000, SPACE, np.uint8), np.zeros(0x110000, bool)
+    for cp in range(0x110000):
+        kind = unicodedata.category(chr(cp))[0]
+        if kind == "L" or kind == "M":
+            table[cp] = cp - 97 + 2 if 97 <= cp <= 122 else 27 if cp > 65535 else 28 + (cp * 2654435761 >> 7) % 228
+            letter[cp] = kind == "L"
+    return table, letter
+
+
+def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts, each text starting and ending with one SPACE, each text's offset, and which symbols are letters."""
+    table, letter = _tables()
     joined = "\n".join(t or "" for t in texts).lower() if all(t is None or t.isascii() for t in texts) else None
     if joined is None:
         parts = [(t or "").lower() for t in texts]
@@ -66,13 +69,13 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     else:
         sizes = np.array([len(t or "") for t in texts], np.int64)
     cps = np.frombuffer(("\n" + joined + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    syms = _TABLE[np.minimum(cps, 65536)]
+    syms = table[cps]
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)  # the separator before each text
     keep = np.ones(len(syms), bool)
     keep[1:] = (syms[1:] != SPACE) | (syms[:-1] != SPACE)
     keep[starts] = True
     where = np.cumsum(keep) - 1
-    return syms[keep], where[starts]
+    return syms[keep], where[starts], letter[cps[keep]]
 
 
 def grams(syms: np.ndarray, n: int) -> np.ndarray:
@@ -134,7 +137,7 @@ class Model:
         return np.concatenate(bits), np.concatenate(letters)
 
     def _some(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        syms, starts = symbols(texts)
+        syms, starts, is_letter = symbols(texts)
         ends = np.concatenate((starts[1:], [len(syms)]))
         total = np.zeros((len(texts), len(self.langs)))
         letters = np.zeros(len(texts), np.int64)
@@ -145,7 +148,7 @@ class Model:
             first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left")
             cuts = np.maximum(starts[first:last], lo) - lo
             total[first:last] += np.add.reduceat(scores, cuts, axis=0, dtype=np.float64)
-            letters[first:last] += np.add.reduceat(syms[lo:hi] != SPACE, cuts, dtype=np.int64)
+            letters[first:last] += np.add.reduceat(is_letter[lo:hi], cuts, dtype=np.int64)
         return -total / (ends - starts)[:, None], letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -157,11 +160,38 @@ class Model:
         low = bits[np.arange(len(texts)), best]
         weight = np.exp2(-self.slope * np.sqrt(np.minimum(letters, 400))[:, None] * (bits - low[:, None]))
         score = np.where(letters > 0, 1 / weight.sum(axis=1), 0.0)
-        limit = self.limit[best] if self.limit is not None else np.inf
-        fine = (letters > 0) & (low <= limit + SHORT_SLACK_BITS / np.sqrt(np.maximum(letters, 1)))
+        limit = self.limit[best, _doublings(letters)] if self.limit is not None else np.inf
+        fine = (letters > 0) & (low <= limit)
         return [self.langs[b] if n else UND for b, n in zip(best, letters)], score, fine
 
 
+def _doublings(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), LENGTHS - 1)
+
+
+def _pieces(text: str) -> list[str]:
+    """Parts of a text of several lengths, evenly spread over it."""
+    out = []
+    for size in PIECES:
+        room = len(text) - size
+        if room > 0:
+            out += [text[at : at + size] for at in {room * k // PIECES_OF_TEXT for k in range(PIECES_OF_TEXT)}]
+    return out
+
+
+def _limits(n_lang: int, lang: np.ndarray, letters: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The largest accepted bits per symbol by language and doubling of letters, from measured texts; longer texts have no higher limit."""
+    out = np.full((n_lang + 1, LENGTHS), np.inf)
+    length = _doublings(letters)
+    for k in range(n_lang + 1):
+        for d in range(LENGTHS):
+            x = low[((lang == k) | (k == n_lang)) & (length == d)]
+            if len(x) >= 5:
+                out[k, d] = x.max() + max(REJECT_DEVIATIONS * x.std(), REJECT_BITS)
+    own = np.where(np.isinf(out[:n_lang]), out[n_lang], out[:n_lang])  # what no text of a language measures, those of all do
+    return np.minimum.accumulate(own, axis=1)
+
+
 def _kneser_ney(langs: list[str], counts: list[dict[int, np.ndarray]]) -> Model:
     """counts[l]: the (key, count) arrays of language l's 4-grams under 0 and 1."""
     n_lang = len(langs)
@@ -242,16 +272,23 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     model = _kneser_ney(langs, [{0: keys[names == l], 1: ns[names == l]} for l in langs])
 
     def measure(batch: dict) -> dict:
-        bits, letters = model.cross_entropy(batch["t"].to_pylist())
+        texts, labels = batch["t"].to_pylist(), batch["l"].to_pylist()
+        bits, letters = model.cross_entropy(texts)
         best = bits.argmin(axis=1)
-        right = np.array([langs[b] == l for b, l in zip(best, batch["l"].to_pylist())])
+        right = np.array([langs[b] == l for b, l in zip(best, labels)])
         gap = np.sort(bits, axis=1)
         margin = gap[:, 1] - gap[:, 0] if len(langs) > 1 else np.ones(len(bits))
-        return {"b": best.astype(np.int64), "low": bits.min(axis=1), "margin": margin, "letters": letters, "good": right}
-
-    seen = arrow_map(rows.where(in_calibration), measure, "b bigint, low double, margin double, letters bigint, good boolean").where("letters > 0").toArrow()
-    low, best, good = seen.column("low").to_numpy(), seen.column("b").to_numpy(), seen.column("good").to_numpy()
-    model.limit = np.array([(np.quantile(low[(best == k) & good], 0.999) if ((best == k) & good).sum() >= 5 else np.inf) + REJECT_SLACK_BITS for k in range(len(langs))])
+        parts = [(k, p) for k, t in enumerate(texts) if right[k] for p in _pieces(t)]
+        of = np.array([k for k, _ in parts], np.int64)
+        more, more_letters = model.cross_entropy([p for _, p in parts])
+        n, every = len(parts), np.concatenate
+        return {"b": every((best, best[of])).astype(np.int64), "low": every((bits.min(axis=1), more.min(axis=1) if n else np.zeros(0))), "margin": every((margin, np.zeros(n))), "letters": every((letters, more_letters)), "good": every((right, np.ones(n, bool))), "whole": np.arange(len(texts) + n) < len(texts)}
+
+    every_seen = arrow_map(rows.where(in_calibration), measure, "b bigint, low double, margin double, letters bigint, good boolean, whole boolean").where("letters > 0 and (good or whole)").toArrow()
+    seen = every_seen.filter(every_seen.column("good"))
+    model.limit = _limits(len(langs), seen.column("b").to_numpy(), seen.column("letters").to_numpy(), seen.column("low").to_numpy())
+    seen = every_seen.filter(every_seen.column("whole"))
+    good = seen.column("good").to_numpy()
     x = seen.column("margin").to_numpy() * np.sqrt(np.minimum(seen.column("letters").to_numpy(), 400))
     if len(x) and not good.all():  # the slope of least log-loss on the calibration texts
         grid = np.linspace(0.25, 16, 64)

@@ -143,7 +143,12 @@ def _sampler(hot: np.ndarray):
             g, r, d, lo, n = (np.repeat(c, parts) for c in (g, r, d, lo, n))
             lo, n = lo + (k << MORE_BITS), np.minimum(n - (k << MORE_BITS), (1 << MORE_BITS) - 1)
         g, d = g.astype(np.int64), d.astype(np.int64)
-        salt = np.where(np.isin(g, hot), _salts(d), np.int16(0)) if len(hot) else np.zeros(len(g), np.int16)
+        salt = np.zeros(len(g), np.int16)
+        if len(hot):
+            at = np.searchsorted(hot, g)
+            at[at == len(hot)] = 0
+            k = np.flatnonzero(hot[at] == g)
+            salt[k] = _salts(d[k])
         return {"gram": pa.array(g), "run_more": pa.array(r.astype(np.int64) << MORE_BITS | n), "doc_id": pa.array(d), "lo": pa.array(lo.astype(np.int32)), "salt": pa.array(salt)}
 
     return sample

@@ -174,18 +174,26 @@ def test_streaming_decode_is_pythons():
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = lang_id.train(docs.where(~lang_id.held_out()))
-    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "123 ### ", None, None, None), (-3, "", None, None, None)], docs.schema)
+    odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "123 ### ", None, None, None), (-3, "", None, None, None), (-4, "😀😀 \ufe0f👍", None, None, None)], docs.schema)
     out = lang_id.identify(docs.unionByName(odd), model).withColumn("h", lang_id.held_out()).collect()
     judged = [r for r in out if r.h and r.doc_id >= 0 and r.n_chars >= 40]
     assert sum(r.lang == r.lang_pred for r in judged) >= 0.97 * len(judged) and all(0 <= r.score <= 1 for r in out)
     assert all(r.lang_pred == "und" and r.score == 0 and not r.accepted for r in out if r.doc_id < 0)
     assert sum(r.accepted for r in out if r.doc_id >= 0) >= 0.99 * docs.count()  # clean documents stay
+    rng = random.Random(3)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    junk = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Все люди рождаются свободными и равными в своем достоинстве", "for (int i = 0; i < n; i++) { x[i] = strcmp(argv[i], optarg) ? kwargs : NULL; }", "asdf jkl qwer zxcv asdfgh qwerty uiop"]
+    junk += [draw("abcdefghijklmnopqrstuvwxyz ", n) for n in (30, 60, 120, 400)] + [draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", n) for n in (40, 200, 3000)]
+    assert not model.predict(junk)[2].any()
+    # Pieces of clean documents of every length stay; their labels' languages were learned.
+    clean = [r.text[: rng.choice([20, 60, 200, 1000])] for r in out if r.h and r.doc_id >= 0 and r.lang == r.lang_pred and r.n_chars >= 40]
+    assert model.predict(clean)[2].mean() >= 0.99
     empty = lang_id.train(docs.where("lang = 'none'"))
     assert {r.lang_pred for r in lang_id.identify(docs.limit(5), empty).collect()} == {"und"}
 
 
 def test_kneser_ney_sums_to_one():
-    syms, _ = lang_id.symbols(["abracadabra abra cadabra", "the theory"])
+    syms, _, _ = lang_id.symbols(["abracadabra abra cadabra", "the theory"])
     keys, counts = np.unique(lang_id.grams(syms, 4), return_counts=True)
     model = lang_id._kneser_ney(["x"], [{0: keys, 1: counts}])
     alphabet = sorted(set((keys & 0xFF).tolist()))
