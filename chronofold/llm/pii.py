@@ -4,17 +4,19 @@ The base patterns (``email``, ``ip``, ``card``, ``phone``) are matched leftmost
 non-overlapping for each kind; matches failing their check are dropped without retry. They
 always stay. The field then looks at what the patterns cannot decide: clusters of digit groups
 (a phone number without its plus sign, cards that stand beside other digits, a card written
-with dots) and obfuscated addresses (``name [at] host [dot] com``). It scores whole candidate
-segments - digit counts, group shape, checksum, separators, cue words before them - and an
-exact dynamic program over segment ends jointly chooses boundaries and types. Entities are
-bounded (at most ``MAX_GROUPS`` digit groups and 19 digits), so the program is linear in the text. Chosen segments
+with dots) and clusters of words joined by signs or words for *at* and *dot* (``name [at] host [dot] com``). It scores whole
+candidate segments - digit counts, group shape, checksum, separators, the form of the joints, cue words before them -
+and an exact dynamic program over segment ends jointly chooses boundaries and types. Entities are
+bounded (at most ``MAX_GROUPS`` groups or words, 19 digits), so the program is linear in the text. Chosen segments
 that overlap no base span are added if their marginal probability is at least ``MIN_MARGINAL``.
 
 The field's weights are fitted here by stochastic gradient on the exact conditional likelihood
-over ``TRAIN_LINES`` synthetic lines of a seeded generator; no personal data is needed for it.
+over ``TRAIN_LINES`` synthetic lines of a seeded generator; no personal data is needed for it. A segment's features
+depend on a small key (its shape and surroundings), and a key is scored once.
 
 Defined results: null and empty texts have no spans; spans count code points, end exclusive;
 repeated rows are treated alike; whole texts are scanned in linear time whatever their length.
+Names of people, postal addresses and account numbers of other kinds are no candidates.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ _HAS_DIGIT = re.compile(r"[0-9]")
 
 MAX_GROUPS = 8
 MAX_GAP = 3
-TRAIN_LINES = 600
+TRAIN_LINES = 900
 MIN_MARGINAL = 0.9
 
 
@@ -59,6 +61,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _luhn_sums(digits: str) -> tuple[list[int], list[int]]:
+    """Running checksums with the digits at odd places doubled, and with those at even places."""
+    twice = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
+    values = [ord(c) - 48 for c in digits]
+    even = accumulate((twice[v] if k & 1 else v for k, v in enumerate(values)), initial=0)
+    odd = accumulate((v if k & 1 else twice[v] for k, v in enumerate(values)), initial=0)
+    return list(even), list(odd)
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     found, last, at = [], 0, text.find("@")
     while at >= 0:
@@ -98,16 +109,23 @@ def base_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
 
 # --- the field -------------------------------------------------------------------------------
 
-#: Cue words by the kind they announce.
+#: Cue words by the kind they announce; ``ref`` is what looks alike and is no one's data.
 CUES = {
-    "phone": "phone tel telephone call mobile cell fax contact whatsapp telefon téléphone teléfono móvil handy rufnummer appelez llame".split(),
-    "card": "card visa mastercard amex credit debit payment iban karte carte tarjeta kreditkarte".split(),
+    "phone": "phone tel telephone call mobile cell fax contact whatsapp telefon téléphone teléfono móvil handy rufnummer appelez llame sms dial ring".split(),
+    "card": "card visa mastercard amex credit debit payment karte carte tarjeta kreditkarte".split(),
     "ip": "ip address host server addr ipv4 adresse dirección".split(),
-    "email": "email mail e-mail correo courriel contact".split(),
+    "email": "email mail e-mail correo courriel write reach".split(),
+    "ref": "isbn issn order invoice ref reference tracking serial id no nr version section chapter room lot page item build sku ticket case bestellung rechnung commande factura pedido seite".split(),
 }
 _CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
-_CLUSTER = re.compile(r"[+(]{0,2}[0-9]++(?:[\x20().\-+/ ]{1,3}[0-9]++)*+")
-_OBFUSCATED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})(\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?|\x20(?:AT)\x20)([A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?|\x20DOT\x20)[A-Za-z0-9-]{1,63}){1,6})(?![A-Za-z0-9-])")
+#: Words before *at* that are seldom a mailbox.
+NO_LOCAL = frozenset("us me you it him her them look looked visit find see meet arrive arrived live work available online only all and or is are was not available stay be here there out now".split())
+_CLUSTER = re.compile(r"[+(]{0,2}[0-9]++(?:[\x20().\-+/ ]{1,3}[0-9]++)*+")
+_AT = r"\x20?[\[({<]\x20?(?:at|AT|@)\x20?[\])}>]\x20?|\x20(?:at|AT|@)\x20"
+_DOT = r"\x20?[\[({<]\x20?(?:dot|DOT|\.)\x20?[\])}>]\x20?|\x20(?:dot|DOT)\x20|\."
+_ADDRESS_WORD = r"[A-Za-z0-9_%+-]++"
+_JOINTS = re.compile(rf"(?<![A-Za-z0-9_%+-]){_ADDRESS_WORD}(?:(?:{_AT}|{_DOT}){_ADDRESS_WORD})++")
+_JOINT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})")
 _WORD_BEFORE = re.compile(r"([^\W\d_][\w-]*)[\s:=#.]*\Z")
 
 
@@ -121,74 +139,151 @@ def _clusters(text: str) -> list[list[tuple[int, int]]]:
     return [[(m.start() + g.start(), m.start() + g.end()) for g in _DIGITS.finditer(m.group())] for m in _CLUSTER.finditer(text) if m.end() - m.start() >= 7]
 
 
-def _segments(text: str, groups: list[tuple[int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-    """Candidate segments by the group after their last: (first group, start, end)."""
-    out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for i in range(len(groups)):
-        digits = 0
-        for j in range(i, min(len(groups), i + MAX_GROUPS)):
-            digits += groups[j][1] - groups[j][0]
-            if digits > 19:
+def _addresses(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of words joined by forms of *at* and *dot* that hold both, each a list of the words' spans."""
+    found = []
+    for m in _JOINTS.finditer(text):
+        joints = list(_JOINT.finditer(text, m.start(), m.end()))
+        at = [j["at"] is not None for j in joints]
+        if any(at) and not all(at):
+            found.append(list(zip([m.start()] + [j.end() for j in joints], [j.start() for j in joints] + [m.end()])))
+    return found
+
+
+#: (cut where it starts, kind or None, start, end, key of its features)
+Segment = tuple[int, str | None, int, int, tuple]
+
+
+def _digit_segments(text: str, groups: list[tuple[int, int]]) -> list[list[Segment]]:
+    """For each cut, the segments of digit groups that end there."""
+    n = len(groups)
+    cuts: list[list[Segment]] = [[] for _ in range(n + 1)]
+    sizes = [b - a for a, b in groups]
+    digits = [text[a:b] for a, b in groups]
+    gaps = [g.strip() or ("_" if g else "") for g in (text[groups[k][1] : groups[k + 1][0]] for k in range(n - 1))]
+    upto = list(accumulate(sizes, initial=0))
+    even, odd = _luhn_sums("".join(digits))
+    alike = [0] * n  # from which gap on all are the same as this one
+    for k in range(1, n - 1):
+        alike[k] = alike[k - 1] if gaps[k] == gaps[k - 1] else k
+    cues: dict[int, str] = {}
+    for j in range(1, n + 1):
+        cuts[j].append((j - 1, None, *groups[j - 1], ("out",)))
+        end = groups[j - 1][1]
+        after = text[end : end + 1]
+        for i in range(j - 1, max(-1, j - 1 - MAX_GROUPS), -1):
+            total = upto[j] - upto[i]
+            if total > 19:
                 break
-            if digits >= 7 or j == i + 3 and digits >= 4:
-                start, end = groups[i][0], groups[j][1]
-                left = text[max(0, start - 2) : start]
-                start -= len(left) - len(left.rstrip("+(")) if text[start:end].count(")") > text[start:end].count("(") or left.endswith("+") else 0
-                out[j + 1].append((i, start, end))
-    return out
+            four = j - i == 4
+            if total < 7 and not (four and total >= 4):
+                continue
+            start = groups[i][0]
+            left = text[max(0, start - 2) : start]
+            if left and left[-1] in "+(":
+                body = text[start:end]
+                if left[-1] == "+" or body.count(")") > body.count("("):
+                    start -= len(left) - len(left.rstrip("+("))
+            octets = four and gaps[i : j - 1] == [".", ".", "."] and all(len(g) <= 3 and int(g) <= 255 for g in digits[i:j])
+            if start not in cues:
+                cues[start] = _cue(text, start)
+            before = text[start - 1 : start] if start else ""
+            head = text[start : groups[i][0] + 1]
+            inner = gaps[i : j - 1]
+            key = (
+                total,
+                tuple(sizes[i:j]),
+                "" if not inner else inner[0] if alike[j - 2] <= i else "|".join(sorted(set(inner))),
+                total >= 13 and ((even if upto[j] % 2 else odd)[upto[j]] - (even if upto[j] % 2 else odd)[upto[i]]) % 10 == 0,
+                octets,
+                head[0] == "+",
+                "(" in head or any("(" in g for g in inner),
+                cues[start],
+                before.isalnum() or after.isalnum(),
+                before if before in (".", ",", "-", "/") else "",
+                after if after in ("-", "/") else "",
+            )
+            for kind in ("ip", "card", "phone"):
+                if kind == "ip" and not four or kind == "card" and total < 12 or kind == "phone" and not 7 <= total <= 15:
+                    continue
+                cuts[j].append((i, kind, start, end, (kind, *key)))
+    return cuts
+
+
+def _form(joint: str) -> str:
+    return joint.strip().lower() if joint.strip() not in ("at", "dot") else "plain"
+
+
+def _address_segments(text: str, words: list[tuple[int, int]]) -> list[list[Segment]]:
+    """For each cut, the segments of joined words that end there: a mailbox of up to three words, one *at*, a host of two or more."""
+    n = len(words)
+    joints = [text[words[k][1] : words[k + 1][0]] for k in range(n - 1)]
+    is_at = [_JOINT.fullmatch(j)["at"] is not None for j in joints]
+    cuts: list[list[Segment]] = [[] for _ in range(n + 1)]
+    for j in range(1, n + 1):
+        cuts[j].append((j - 1, None, *words[j - 1], ("out",)))
+        for i in range(j - 3, max(-1, j - 1 - MAX_GROUPS), -1):
+            ats = [k for k in range(i, j - 1) if is_at[k]]
+            if len(ats) != 1 or j - 1 - ats[0] < 2 or ats[0] - i > 2:
+                continue
+            (at,) = ats
+            start, end = words[i][0], words[j - 1][1]
+            last, local = text[slice(*words[j - 1])], text[start : words[at][1]].lower()
+            dots = {_form(d) for d in joints[at + 1 : j - 1]}
+            key = (
+                _form(joints[at]),
+                "|".join(sorted(dots)),
+                last.isalpha() and 2 <= len(last) <= 6,
+                local in NO_LOCAL,
+                any(c in "._%+-" or c.isdigit() for c in local),
+                min(j - 1 - at, 4),
+                at - i,
+                _cue(text, start),
+                i > 0 and not is_at[i - 1],
+                j < n and not is_at[j - 1],
+            )
+            cuts[j].append((i, "email", start, end, ("email", *key)))
+    return cuts
+
+
+_NAMES = {
+    "email": ("at", "dot", "tld", "nolocal", "marked", "labels", "locals", "cue", "cutleft", "cutright"),
+    **{k: ("digits", "shape", "gaps", "luhn", "octets", "plus", "paren", "cue", "glued", "left", "right") for k in ("ip", "card", "phone")},
+}
 
 
-def _features(text: str, start: int, end: int, kind: str) -> list[str]:
-    body = text[start:end]
-    groups = _DIGITS.findall(body)
-    digits = "".join(groups)
-    gaps = [g.strip() or ("_" if g else "") for g in re.split(r"[0-9]+", body)[1:-1]]
-    before, after = text[start - 1 : start], text[end : end + 1]
-    shape = "-".join(str(len(g)) for g in groups[:8])
-    fine_octets = len(groups) == 4 and set(gaps) == {"."} and all(len(g) <= 3 and int(g) <= 255 for g in groups)
-    found = [
-        "bias",
-        f"digits={len(digits)}",
-        f"shape={shape}",
-        f"gaps={'|'.join(sorted(set(gaps)))}",
-        f"luhn={13 <= len(digits) <= 19 and luhn(digits)},{len(digits) if len(digits) >= 13 else 0}",
-        f"octets={fine_octets}",
-        f"plus={body.startswith('+')},paren={'(' in body and ')' in body}",
-        f"cue={_cue(text, start)}",
-        f"glued={before.isalnum() or after.isalnum()}",
-        f"even={len({len(g) for g in groups}) == 1},{min(len(groups), 5)}",
-        f"edge={before in '.,-/' and before != ''},{after in '-/' and after != ''}",
-    ]
-    return [f"{kind}:{f}" for f in found]
+def _features(key: tuple) -> list[str]:
+    """The names of a segment's features, from its key."""
+    if key[0] == "out":
+        return ["out"]
+    kind, found = key[0], dict(zip(_NAMES[key[0]], key[1:]))
+    out = [f"{kind}:bias"] + [f"{kind}:{n}={v}" for n, v in found.items()]
+    if kind == "email":
+        out.append(f"{kind}:joints={found['at']},{found['dot']},{found['tld']}")
+        out.append(f"{kind}:plain={found['at'] == 'plain'},{found['dot']},{found['nolocal']}")
+    else:
+        sizes = found["shape"]
+        out.append(f"{kind}:even={len(set(sizes)) == 1},{min(len(sizes), 5)}")
+        out.append(f"{kind}:luhn={found['luhn']},{found['digits']},{found['cue'] == 'ref'}")
+    return out
 
 
 class Field:
-    """A semi-Markov field over the digit groups of a cluster; segments are outside or one of three kinds."""
-
-    kinds = ("ip", "card", "phone")
+    """A semi-Markov field over the groups or words of a cluster; segments are outside or of one kind."""
 
     def __init__(self) -> None:
         self.w: dict[str, float] = defaultdict(float)
+        self.known: dict[tuple, float] = {}  # scores by key, while weights stand
 
-    def lattice(self, text: str, groups: list[tuple[int, int]]) -> list[list[tuple[int, str | None, int, int, list[str]]]]:
-        """For each cut, the segments ending there: (cut where they start, kind or None, start, end, features)."""
-        ends = _segments(text, groups)
-        cuts: list[list[tuple[int, str | None, int, int, list[str]]]] = [[] for _ in range(len(groups) + 1)]
-        for j in range(1, len(groups) + 1):
-            cuts[j].append((j - 1, None, *groups[j - 1], ["out"]))
-            for i, s, e in ends.get(j, ()):
-                n_digits = sum(b - a for a, b in groups[i:j])
-                for kind in self.kinds:
-                    if kind == "ip" and j - i != 4 or kind == "card" and n_digits < 12 or kind == "phone" and not 7 <= n_digits <= 15:
-                        continue
-                    cuts[j].append((i, kind, s, e, _features(text, s, e, kind)))
-        return cuts
-
-    def _score(self, features: list[str]) -> float:
-        w = self.w
-        return sum(w.get(f, 0.0) for f in features)
-
-    def marginals(self, cuts: list) -> tuple[list[list[float]], list[float]]:
+    def _score(self, key: tuple) -> float:
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[key] = sum(self.w.get(f, 0.0) for f in _features(key))
+        return got
+
+    def marginals(self, cuts: list[list[Segment]]) -> list[list[float]]:
         n = len(cuts)
         score = [[self._score(s[4]) for s in c] for c in cuts]
         fwd, bwd = [-math.inf] * n, [-math.inf] * n
@@ -202,10 +297,11 @@ class Field:
                 a, b = bwd[s[0]], bwd[j] + x
                 bwd[s[0]] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
         z = fwd[n - 1]
-        return [[math.exp(fwd[s[0]] + x + bwd[j] - z) for s, x in zip(cuts[j], score[j])] for j in range(n)], [sum(r) for r in score]
+        return [[math.exp(fwd[s[0]] + x + bwd[j] - z) for s, x in zip(cuts[j], score[j])] for j in range(n)]
 
-    def learn(self, cuts: list, gold: set[tuple[str, int, int]], rate: float) -> None:
-        probs, _ = self.marginals(cuts)
+    def learn(self, cuts: list[list[Segment]], gold: set[tuple[str, int, int]], rate: float) -> None:
+        self.known.clear()
+        probs = self.marginals(cuts)
         covered = set()
         for j in range(1, len(cuts)):
             for s in cuts[j]:
@@ -214,14 +310,13 @@ class Field:
         for j in range(1, len(cuts)):
             for s, p in zip(cuts[j], probs[j]):
                 right = (s[1], s[2], s[3]) in gold if s[1] is not None else j - 1 not in covered
-                if g := rate * (float(right) - p):
-                    for f in s[4]:
+                if abs(g := rate * (float(right) - p)) > 1e-9:
+                    for f in _features(s[4]):
                         self.w[f] += g
 
-    def decode(self, text: str, groups: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
+    def decode(self, cuts: list[list[Segment]]) -> list[tuple[str, int, int, float]]:
         """The best segmentation's entities, with their marginal probabilities."""
-        cuts = self.lattice(text, groups)
-        best, back = [0.0] + [-math.inf] * (len(cuts) - 1), [None] * len(cuts)
+        best, back = [0.0] + [-math.inf] * (len(cuts) - 1), [0] * len(cuts)
         for j in range(1, len(cuts)):
             for k, s in enumerate(cuts[j]):
                 v = best[s[0]] + self._score(s[4])
@@ -235,7 +330,7 @@ class Field:
             j = s[0]
         if not chosen:
             return []
-        probs, _ = self.marginals(cuts)
+        probs = self.marginals(cuts)
         return [(cuts[j][k][1], cuts[j][k][2], cuts[j][k][3], probs[j][k]) for j, k in reversed(chosen)]
 
 
@@ -256,23 +351,39 @@ def _synthetic(rng: random.Random) -> tuple[str, set[tuple[str, int, int]]]:
         area, a, b = d(3), d(3), d(4)
         return rng.choice([f"({area}) {a}-{b}", f"({area}) {a} {b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}", f"+1 ({area}) {a}-{b}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}"])
 
+    def national() -> str:  # written as many numbers are: only the word before tells
+        return rng.choice([f"0{d(2)} {d(7)}", f"0{d(3)} {d(6)}", f"0{d(3)}/{d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)} {d(3)} {d(3)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(9)}", f"{d(10)}"])
+
+    def mail() -> str:
+        name = lambda: rng.choice("anna max john maria lee peter sofia karl lucas info sales press j.doe a.b mary_k tom77 kim2".split())
+        tld = rng.choice("com org net de fr es io co.uk edu".split())
+        host = rng.choice("mail example web post firma uni acme site my-host".split())
+        at, dot = rng.choice([(" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" [at] ", "."), (" AT ", " DOT "), (" at ", " dot "), ("{at}", "{dot}"), (" @ ", "."), (" <at> ", " <dot> "), (" (@) ", ".")])
+        local = name() if rng.random() < 0.7 or dot == "." else name() + dot + name()
+        return local + at + dot.join([host, *tld.split(".")])
+
     def ip() -> str:
         return ".".join(str(rng.randint(1, 255)) for _ in range(4))
 
     def other() -> str:
-        return rng.choice([d(rng.randint(1, 12)), d(16), d(20), f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", f"19{d(2)}-{d(2)}-{d(2)}", f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}", f"{d(4)}/{d(2)}/{d(2)}", f"{d(3)} {d(3)}", f"{d(2)} {d(2)} {d(2)}", f"{d(5)}-{d(4)}", f"{d(3)}-{d(2)}-{d(1)}", f"{d(3)},{d(3)}", f"{d(4)}-{d(4)}", f"{d(4)} {d(4)}"])
+        isbn = f"97{rng.choice('89')}-{d(1)}-{d(2)}-{d(6)}-"
+        isbn += d(1) if rng.random() < 0.5 else next(c for c in "0123456789" if luhn(re.sub("-", "", isbn) + c))
+        refs = [f"{rng.choice(CUES['ref'])} {x}" for x in (isbn, d(16), d(13), d(10), f"{d(3)} {d(3)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}", f"{d(1)}.{d(1)}.{d(1)}.{d(1)}", f"{d(3)}-{d(7)}", f"{d(4)}/{d(6)}")]
+        where = [f"{rng.choice(sorted(NO_LOCAL))} at {word()}.{rng.choice(['com', 'org', 'de'])}", f"{word()} at {word()}. {word()}", f"{word()} [at] {word()}", f"{word()}.{word()} at {word()}", f"{word()} at noon.{word()}"]
+        return rng.choice([*refs, *where, *where, d(rng.randint(1, 12)), d(16), d(20), f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", f"19{d(2)}-{d(2)}-{d(2)}", f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}", f"{d(4)}/{d(2)}/{d(2)}", f"{d(3)} {d(3)}", f"{d(2)} {d(2)} {d(2)}", f"{d(5)}-{d(4)}", f"{d(3)}-{d(2)}-{d(1)}", f"{d(3)},{d(3)}", f"{d(4)}-{d(4)}", f"{d(4)} {d(4)}"])
 
     text, gold = word(), set()
     last = None
     for _ in range(rng.randint(1, 4)):
-        kind = rng.choice(["card", "phone", "ip", None, None, None])
-        body = {"card": card, "phone": phone, "ip": ip, None: other}[kind]()
+        kind = rng.choice(["card", "phone", "phone", "ip", "email", None, None, None, None])
+        told = kind == "phone" and rng.random() < 0.4
+        body = national() if told else {"card": card, "phone": phone, "ip": ip, "email": mail, None: other}[kind]()
         if kind == "card" and last and last[0] == "card" and rng.random() < 0.8:
             text += " "
             if rng.random() < 0.5:
                 body = last[1]
         else:
-            text += " " + word() + (" " + rng.choice(CUES[kind]) + rng.choice([": ", " "]) if kind and rng.random() < 0.3 else " ")
+            text += " " + word() + (" " + rng.choice(CUES[kind]) + rng.choice([": ", " "]) if kind and (told or rng.random() < 0.3) else " ")
         start = len(text)
         text += body
         if kind:
@@ -291,12 +402,13 @@ def fitted() -> Field:
     lines = []
     for _ in range(TRAIN_LINES):
         text, gold = _synthetic(rng)
-        for groups in _clusters(text):
-            lines.append((field.lattice(text, groups), gold))
+        lines += [(_digit_segments(text, groups), gold) for groups in _clusters(text)]
+        lines += [(_address_segments(text, words), gold) for words in _addresses(text)]
     for epoch in range(5):
         rng.shuffle(lines)
         for cuts, gold in lines:
             field.learn(cuts, gold, 0.3 / (1 + epoch))
+    field.known.clear()
     return field
 
 
@@ -304,16 +416,16 @@ def fitted() -> Field:
 WINDOW, MARGIN = 512, 32
 
 
-def _decode_windows(text: str, groups: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
+def _decode_windows(text: str, groups: list[tuple[int, int]], segments=_digit_segments) -> list[tuple[str, int, int, float]]:
     """The entities of a cluster in memory that doesn't grow with it; entities are far shorter than a margin."""
     if len(groups) <= WINDOW:
-        return fitted().decode(text, groups)
+        return fitted().decode(segments(text, groups))
     found = []
     for lo in range(0, len(groups), WINDOW - 2 * MARGIN):
         hi = min(len(groups), lo + WINDOW)
         first = groups[lo + MARGIN if lo else 0][0] if lo + MARGIN < len(groups) else len(text)
         last = groups[hi - MARGIN][0] if hi < len(groups) else len(text)
-        found += [x for x in fitted().decode(text, groups[lo:hi]) if first <= x[2] < last or hi == len(groups) and first <= x[2]]
+        found += [x for x in fitted().decode(segments(text, groups[lo:hi])) if first <= x[2] < last or hi == len(groups) and first <= x[2]]
         if hi == len(groups):
             break
     return list(dict.fromkeys(found))
@@ -332,10 +444,10 @@ def find_spans(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict
         before = bisect_left(starts, end)
         return before == 0 or reach[before - 1] <= start
 
-    if "[" in text or "(" in text or "{" in text or " AT " in text:
-        for m in _OBFUSCATED.finditer(text):
-            if free(*m.span()) and any(c.isalpha() for c in m.group(3)):
-                added["email"].append(m.span())
+    low = text.lower() if "at" in text or "AT" in text or "@" in text else ""
+    if "at" in low or "@" in low:
+        for words in _addresses(text):
+            added["email"] += [(s, e) for _, s, e, p in _decode_windows(text, words, _address_segments) if p >= MIN_MARGINAL and free(s, e)]
     if _HAS_DIGIT.search(text):
         for groups in _clusters(text):
             k = bisect_left(starts, groups[0][0] + 1)

@@ -130,12 +130,71 @@ def test_pii_field_adds_and_leaves_alone():
     assert found("write john [at] mail [dot] com today") == {"email": ["john [at] mail [dot] com"]}
     for clean in ("on 2024-01-02 at 12:30", "version 2.0. and 3.", "order 123456789012 shipped", "12 of 345 or 6,789", ""):
         assert found(clean) == {}
-    rng, hits, total, false = random.Random(99), 0, 0, 0
-    for _ in range(300):
-        text, gold = pii._synthetic(rng)
-        got = {(k, s, e) for g in pii._clusters(text) for k, s, e, p in pii.fitted().decode(text, g) if p >= pii.MIN_MARGINAL}
+    assert found("see ISBN 978-3-16-148410-0") == found("room 101 202 3030 in lot 55") == found("visit us at example.com now") == {}
+    assert found("tel 030 1234567") == {"phone": ["030 1234567"]}
+
+
+#: Written by hand, not by the generator: what the field should add stands in braces, its kind before a bar.
+HELD_OUT = """
+You can reach Ms. Lindqvist at {email|k.lindqvist (at) nordhaus (dot) se} after four.
+My new mobile: {phone|0171 4458213}, please delete the old one.
+Send the papers to {email|claims [at] harbor-mutual [dot] com} and keep a copy.
+Rufnummer {phone|089 55027-310} ist tagsüber besetzt.
+Fax {phone|(212) 555-0187} or come by in person.
+She wrote {email|tom AT example DOT org} on the napkin.
+Llame al móvil {phone|612 345 678} antes de las ocho.
+Téléphone : {phone|01 44 78 12 33} du lundi au vendredi.
+The old Visa was {card|4012.8888.8888.1881}, now cancelled.
+Two cards, {card|5555555555554444} {card|378282246310005}, were on file.
+Contact {email|sales @ bluefin.io} for a quote.
+Call {phone|415.555.2671} and ask for Priya.
+whatsapp {phone|07911 123456} any time
+E-mail {email|maria.costa at uni dot edu} with questions.
+Telefon: {phone|040/4189320}
+The committee met on 12/04/2019 and again on 3/11/2021.
+Invoice 4471-2289-0034 was settled in full.
+It rained 12.5 mm, then 3.25 mm, then 0.75 mm.
+Flight LH 4471 leaves at 06:45 from gate 22.
+ISBN 0-306-40615-2 is out of print.
+We met at noon. Nobody spoke.
+He arrived at St. Pancras at 9.30 in the morning.
+Population: 1 204 388 in 1990, 1 377 012 in 2010.
+Look at fig. 3 and at table 4.2.1 of the annex.
+Order no. 8839201177 ships on Friday.
+Version 10.4.11 fixes bug 20931 and bug 20944.
+The score was 21-19, 18-21, 21-15.
+Latitude 48.8566, longitude 2.3522, height 35.
+Pages 112-119, 204-211 and 300.
+In 1914 1915 1916 the mill ran day and night.
+Find it online at archive.org under the same title.
+Seite 14, Zeile 3, Absatz 2.
+Tracking 1Z999 0123 4567 8901 is still in transit.
+The code 0000 1111 2222 opens the gate.
+They were sold at 3 for 10, or 7 for 20.
+Room 204, floor 2, building 19.
+""".strip().split("\n")
+
+
+def test_pii_field_on_lines_written_by_hand():
+    hits = total = false = 0
+    for line in HELD_OUT:
+        text, gold, at = "", set(), 0
+        for m in re.finditer(r"\{(\w+)\|([^}]*)\}", line):
+            text += line[at : m.start()]
+            gold.add((m[1], len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        base, added = pii.find_spans(text + line[at:])
+        got = {(k, s, e) for spans in (base, added) for k, v in spans.items() for s, e in v}
         hits, total, false = hits + len(got & gold), total + len(gold), false + len(got - gold)
-    assert hits >= 0.85 * total and false <= 0.03 * total
+    print(f"recall {hits}/{total}, precision {hits}/{hits + false}")
+    assert hits >= 0.8 * total and hits >= 0.8 * (hits + false)
+
+
+def test_pii_decodes_digit_texts_fast():
+    for text in ("1.2" * 20_000, "1 " * 40_000, "a at b dot " * 10_000, "a.b" * 40_000):
+        begun = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - begun < 10
 
 
 def test_pii_frame_and_long(spark):
