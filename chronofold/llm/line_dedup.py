@@ -1,8 +1,8 @@
 """Removal of repeated line chunks, with DataFrame functions only.
 
 Lines are hashed; where a rolling hash over the last ``WINDOW`` lines falls on a multiple of ``TARGET`` a chunk
-ends, so boundaries depend on content and survive inserted or deleted lines elsewhere. A chunk
-of two or more lines that occurs at several places in the corpus stays at its first place (smallest
+of two or more lines ends, so boundaries depend on content and survive inserted or deleted lines elsewhere; a last line
+alone joins the chunk before it. A chunk of two or more lines that occurs at several places in the corpus stays at its first place (smallest
 doc_id, then position) and is removed at the others, once its bytes equal the first one's.
 
 Only hashes and positions are shuffled to find repeats, aggregated map-side, so a chunk of a
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import cut
 
-TARGET, WINDOW = 3, 2
+TARGET, WINDOW = 2, 2
 MODULUS = 1_000_003
 _MULTIPLIER = 31
 
@@ -38,15 +38,27 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _ends(hashes: Column, target: int) -> Column:
-    """The numbers (from 1) of the lines that end a chunk."""
+    """The numbers (from 1) of the lines that end a chunk.
 
-    def last(i: Column) -> Column:
+    A line may end one where its rolling hash says so, and the last line may. The marks are one string, in which a pattern finds
+    chunk after chunk: any line, lines that can't end it, one that can.
+    """
+    n = F.size(hashes)
+
+    def may_end(i: Column) -> Column:
         rolling = F.element_at(hashes, i)
         for back in range(1, WINDOW):
             rolling = rolling + _MULTIPLIER**back * F.when(i > back, F.element_at(hashes, F.greatest(i - back, F.lit(1)))).otherwise(0)
-        return (rolling % target == 0) | (i == F.size(hashes))
+        return F.when((rolling % target == 0) | (i == n), "1").otherwise("0")
+
+    lines = F.sequence(F.lit(1), n)
+    marks = F.split(F.regexp_replace(F.array_join(F.transform(lines, may_end), ""), "[01](0*)1", "0$1e"), "")
+
+    def pick(marks: Column) -> Column:
+        alone = F.element_at(marks, n) != "e"  # the last line is left over: the chunk before takes it in
+        return F.filter(lines, lambda i: (i == n) | (F.element_at(marks, i) == "e") & ~(alone & (i == n - 1)))
 
-    return F.filter(F.sequence(F.lit(1), F.size(hashes)), last)
+    return _let(marks, pick)
 
 
 def chunks_of(text: Column, target: int = TARGET) -> Column:
@@ -112,8 +124,12 @@ def oracle(source: str = "documents", target: int = TARGET) -> str:
 WITH base AS (SELECT row_number() OVER () AS rid, doc_id, text FROM {source}),
 lined AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM base WHERE text IS NOT NULL),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % {MODULUS} AS h, max(i) OVER (PARTITION BY rid) AS n FROM lined),
-rolled AS (SELECT *, (h + {_MULTIPLIER} * coalesce(lag(h) OVER (PARTITION BY rid ORDER BY i), 0)) % {target} = 0 OR i = n AS is_end FROM hashed),
-numbered AS (SELECT *, coalesce(sum(CASE WHEN is_end THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM rolled),
+rolled AS (SELECT *, (h + {_MULTIPLIER} * coalesce(lag(h) OVER (PARTITION BY rid ORDER BY i), 0)) % {target} = 0 OR i = n AS may FROM hashed),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY rid, may ORDER BY i) AS island FROM rolled),
+placed AS (SELECT *, min(i) OVER (PARTITION BY rid, may, island) AS j FROM islands),
+accepted AS (SELECT *, may AND (i - j) % 2 = CASE WHEN j = 1 THEN 1 ELSE 0 END AS ok FROM placed),
+ended AS (SELECT *, i = n OR ok AND NOT (i = n - 1 AND NOT max(CASE WHEN i = n THEN ok END) OVER (PARTITION BY rid)) AS is_end FROM accepted),
+numbered AS (SELECT *, coalesce(sum(CASE WHEN is_end THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ended),
 chunks AS (SELECT rid, doc_id, pos, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY rid, doc_id, pos),
 able AS (SELECT * FROM chunks WHERE n_lines > 1 AND doc_id IS NOT NULL AND trim(regexp_replace(body, '[\\n\\t\\r]', ' ', 'g')) <> ''),
 firsts AS (SELECT body, min(struct_pack(d := doc_id, p := pos)) AS f FROM able GROUP BY body),

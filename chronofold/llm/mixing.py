@@ -84,9 +84,10 @@ def allocate(leaves: DataFrame, mix: Mix) -> DataFrame:
 def choose(docs: DataFrame, mix: Mix, tokens: Column, id_col: str = "doc_id") -> DataFrame:
     """The chosen rows of ``docs`` with ``n_tokens`` and ``epoch`` (0 first).
 
-    ``docs`` must have the level columns; ``tokens`` is the cost of a row.
+    ``docs`` must have the level columns; ``tokens`` is the cost of a row. Columns of ``docs`` called ``n_tokens`` or ``epoch``
+    give way to those of the result, once ``tokens`` has read them.
     """
-    tagged = docs.withColumn("_tokens", F.coalesce(tokens, F.lit(0)).cast("bigint"))
+    tagged = docs.withColumn("_tokens", F.coalesce(tokens, F.lit(0)).cast("bigint")).drop("n_tokens", "epoch")
     for level in mix.levels:
         tagged = tagged.withColumn(f"_l_{level}", F.coalesce(F.col(level).cast("string"), F.lit(NULL)))
     named = [f"_l_{level}" for level in mix.levels]

@@ -45,6 +45,8 @@ SLACK = 0.22
 #: Rows, and shingles of all of them, on each side of what one task compares at once.
 BLOCK = 2000
 BLOCK_SHINGLES = 2_000_000
+#: Parts that a cluster's rows are dealt into where they meet the cluster's figures.
+PARTS = 64
 
 
 def sketch(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -230,7 +232,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     placed = cut(clusters.join(labels.toDF("rep", "root"), "rep", "left").join(classes.select("rep", "n"), "rep").select("cluster", "rep", "n", F.coalesce("root", "rep").alias("comp")), "placed")
     per_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     mixed = per_comp.groupBy("cluster").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("c", "comp", "w")).alias("main")).where("comps > 1")
-    rows = placed.join(mixed, "cluster").join(facts.select("rep", "regs"), "rep").join(sets, "rep")
+    # Dealt by part of a cluster too: one cluster may hold a good share of all classes.
+    parts = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parted = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(PARTS)).cast("int"))
+    rows = parted.join(parts, ["cluster", "part"]).drop("part").join(facts.select("rep", "regs"), "rep").join(sets, "rep")
     late = _dealt(rows).groupBy("cluster", "left", "right").applyInArrow(_across(percent), "a bigint, b bigint")
     roots = components(late)
     up = roots.toDF("root", "up")

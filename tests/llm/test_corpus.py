@@ -202,6 +202,27 @@ def test_line_chunks_survive_shifts(spark):
     assert got[1] == 0 and got[2] > 140
 
 
+def test_mix_columns_that_clash(spark):
+    frame = spark.createDataFrame([(k, "en", "src1", 5, "old") for k in range(20)], "doc_id long, lang string, source string, n_tokens long, epoch string").withColumn("domain", F.lit("d1"))
+    got = mixing.choose(frame, mixing.Mix(epochs=1), F.col("n_tokens"))
+    assert sorted(got.columns) == sorted(frame.columns) and {(r.n_tokens, r.epoch) for r in got.collect()} <= {(5, 0)}
+
+
+def test_short_repeated_runs_go(spark):
+    rng = random.Random(4)
+    line = lambda: f"line {rng.random()}"
+    shared = [[line() for _ in range(rng.randint(2, 9))] for _ in range(40)]
+    rows, inside = [], 0
+    for i in range(400):
+        run = rng.choice(shared)
+        inside += len(run)
+        rows.append((i, "\n".join([line() for _ in range(rng.randint(1, 5))] + run + [line() for _ in range(rng.randint(0, 5))])))
+    got = line_dedup.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_removed_lines")).first()[0]
+    assert got >= 0.4 * inside  # what stands before and after a run hides its first or last lines
+    one = line_dedup.drop_repeated_chunks(spark.createDataFrame([(1, "only"), (2, "only"), (3, "a\nb"), (4, "a\nb"), (5, "a\nb\nc"), (6, "a\nb\nc")], "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed_lines for r in one.collect()} == {1: 0, 2: 0, 3: 0, 4: 2, 5: 0, 6: 3}
+
+
 def test_mix_equals_sql_and_meets_weights(spark):
     rng = random.Random(9)
     rows = [(k, " ".join(["w"] * rng.randint(1, 60)) if k % 11 else None, rng.choice(["en", "de", "fr", None]), rng.choice(["src1", "src2", "src3", "src10", "other", None])) for k in range(900)]
