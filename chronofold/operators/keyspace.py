@@ -50,15 +50,36 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return _covered(_sweep(a, b), (F.col("na") > 0) & (F.col("nb") == 0), was_a & ~was_b)
 
 
-def overlap_join(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
-    """Pairs of overlapping ranges (``a_*`` and ``b_*`` columns), by equality on buckets of ``width`` instead of a loop over all pairs.
+def _binned(df: DataFrame, side: str) -> DataFrame:
+    """Columns as ``<side>_*``; ``_l``, the level of the least power of two that a range's length does not exceed, which is at most two bins of it."""
+    named = df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]).where(f"{side}_start < {side}_end")
+    length = F.col(f"{side}_end") - F.col(f"{side}_start")
+    return named.withColumn("_l", F.when(length <= 1, 0).otherwise(F.length(F.bin(length - 1))))
 
-    Each pair is emitted in the bucket of the larger start only.
+
+def overlap_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of overlapping ranges (``a_*`` and ``b_*`` columns), by equality on bins instead of a loop over all pairs.
+
+    Bins are powers of two. The shorter range of a pair is looked up in bins of the longer one's size, so
+    a range makes two rows for each size that the other side has, however long it is. Each pair is emitted in the bin of the
+    larger start only.
     """
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]).where("a_start < a_end").withColumn("_b", F.explode(F.sequence(F.floor(F.col("a_start") / width), F.floor((F.col("a_end") - 1) / width))))
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).where("b_start < b_end").withColumn("_b", F.explode(F.sequence(F.floor(F.col("b_start") / width), F.floor((F.col("b_end") - 1) / width))))
-    both = left.join(right, "_b").where("a_start < b_end and b_start < a_end")
-    return both.where(F.col("_b") == F.floor(F.greatest("a_start", "b_start") / width)).drop("_b")
+    left, right = _binned(a, "a"), _binned(b, "b")
+    levels = lambda side: F.broadcast(side.select(F.col("_l").alias("_m")).distinct())  # at most 64 rows
+
+    def rows(df: DataFrame, side: str, level: str) -> DataFrame:
+        low, high = f"shiftright({side}_start, {level})", f"shiftright({side}_end - 1, {level})"
+        return df.withColumn("_b", F.explode(F.expr(f"sequence({low}, {high})")))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.join(y, ["_m", "_b"]).where("a_start < b_end and b_start < a_end")
+        return both.where("_b = shiftright(greatest(a_start, b_start), _m)").drop("_m", "_b")
+
+    big_b = rows(right.withColumnRenamed("_l", "_m"), "b", "_m")
+    small_a = rows(left.join(levels(right), F.col("_m") >= F.col("_l")).drop("_l"), "a", "_m")
+    big_a = rows(left.withColumnRenamed("_l", "_m"), "a", "_m")
+    small_b = rows(right.join(levels(left), F.col("_m") > F.col("_l")).drop("_l"), "b", "_m")
+    return met(small_a, big_b).unionByName(met(big_a, small_b))
 
 
 def stack_depth(layers: DataFrame) -> DataFrame:

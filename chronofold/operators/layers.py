@@ -12,10 +12,10 @@ from chronofold.operators.keyspace import overlap_join
 from chronofold.operators.ordered import with_next, with_previous, with_running
 
 
-def select_layer(layers: DataFrame, probes: DataFrame, width: int) -> DataFrame:
+def select_layer(layers: DataFrame, probes: DataFrame) -> DataFrame:
     """For probes (key, at): the layer a read visits first: the newest below ``at``; an image before a delta that ends there."""
     points = probes.select(F.col("key").alias("start"), (F.col("key") + 1).alias("end"), "at")
-    hits = overlap_join(points, layers, width).where("b_lsn_start <= a_at")
+    hits = overlap_join(points, layers).where("b_lsn_start <= a_at")
     seen = F.least(F.col("b_lsn_end"), F.col("a_at") + 1)
     rank = Window.partitionBy("a_start", "a_at").orderBy(seen.desc(), (F.col("b_kind") == "image").desc(), F.desc("b_lsn_start"), "b_id")
     return hits.withColumn("r", F.row_number().over(rank)).where("r = 1").select(F.col("a_start").alias("key"), F.col("a_at").alias("at"), F.col("b_id").alias("layer"))
@@ -26,16 +26,28 @@ def image_coverage(layers: DataFrame, at: int) -> DataFrame:
     images = layers.where((F.col("kind") == "image") & (F.col("lsn_start") <= at)).select("start", "end", "lsn_start")
     cuts = images.select(F.explode(F.array("start", "end")).alias("start")).distinct()
     pieces = with_next(cuts, "start", "end").where("end is not null")
-    return overlap_join(pieces, images, 100).groupBy(F.col("a_start").alias("start"), F.col("a_end").alias("end")).agg(F.max("b_lsn_start").alias("image_lsn"))
+    return overlap_join(pieces, images).groupBy(F.col("a_start").alias("start"), F.col("a_end").alias("end")).agg(F.max("b_lsn_start").alias("image_lsn"))
 
 
-def consistent_lsn(layers: DataFrame) -> DataFrame:
-    """The position up to which images alone answer: the least, over images, of the larger of the image's position and that before the next delta over it."""
-    images = layers.where("kind = 'image'").select("id", "start", "end", "lsn_start")
-    deltas = layers.where("kind = 'delta'").select("start", "end", "lsn_start")
-    after = overlap_join(images, deltas, 100).where("b_lsn_start >= a_lsn_start").groupBy(F.col("a_id").alias("id")).agg(F.min("b_lsn_start").alias("next"))
-    own = images.join(after, "id", "left").withColumn("own", F.greatest("lsn_start", F.coalesce(F.col("next") - 1, F.col("lsn_start"))))
-    return own.agg(F.min("own").alias("lsn"))
+def consistent_lsn(layers: DataFrame, disk_lsn: int) -> DataFrame:
+    """``lsn``: up to which position images answer every read without a replay that might fail. One row.
+
+    Each key range has its newest image at or below ``disk_lsn`` (end of its position, 0 without one) and the least start of
+    deltas that end above it; level-0 deltas (``l0``), or ``disk_lsn`` where there are none, bound every
+    range. A range answers up to its image, or to just before that delta; the result is the least over ranges. A
+    delta counts in a range that ends where the delta begins, too.
+    """
+    bound = layers.agg(F.coalesce(F.min(F.when((F.col("kind") == "delta") & F.col("l0"), F.col("lsn_start"))), F.lit(disk_lsn)).cast("bigint").alias("bound"))
+    images = layers.where((F.col("kind") == "image") & (F.col("lsn_start") <= disk_lsn)).select("start", "end", "lsn_end")
+    ends = layers.agg(F.min("start").alias("lo"), F.max("end").alias("hi")).where("lo is not null").select(F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias("start"))
+    cuts = images.select(F.explode(F.array("start", "end")).alias("start")).unionByName(ends).distinct()
+    pieces = with_next(cuts, "start", "end").where("end is not null").select("start", "end")
+    covered = overlap_join(pieces, images).groupBy(F.col("a_start").alias("start"), F.col("a_end").alias("end")).agg(F.max("b_lsn_end").alias("image"))
+    known = pieces.join(covered, ["start", "end"], "left").select("start", (F.col("end") + 1).alias("end"), F.coalesce("image", F.lit(0)).alias("image"))
+    deltas = layers.where("kind = 'delta'").select("start", "end", "lsn_start", "lsn_end")
+    after = overlap_join(known, deltas).where("b_lsn_end > a_image").groupBy(F.col("a_start").alias("start")).agg(F.min("b_lsn_start").alias("next"))
+    own = known.join(after, "start", "left").join(F.broadcast(bound)).select(F.greatest("image", F.least("bound", F.coalesce("next", "bound")) - 1).alias("own"))
+    return own.agg(F.min("own").alias("own")).join(F.broadcast(bound)).select(F.least(F.coalesce("own", F.col("bound") - 1), F.col("bound") - 1).alias("lsn"))
 
 
 def collectable(layers: DataFrame, space_cutoff: int, time_cutoff: int, retain: DataFrame, leases: DataFrame) -> DataFrame:
@@ -47,7 +59,7 @@ def collectable(layers: DataFrame, space_cutoff: int, time_cutoff: int, retain:
     cutoff = min(space_cutoff, time_cutoff)
     points = retain.agg(F.max("lsn").alias("branch")).join(F.broadcast(leases.agg(F.max("lsn").alias("lease"))))
     images = layers.where((F.col("kind") == "image") & (F.col("lsn_start") <= cutoff)).select("id", "start", "end", "lsn_start")
-    over = overlap_join(layers, images, 100).where("b_lsn_start >= a_lsn_end and b_id <> a_id")
+    over = overlap_join(layers, images).where("b_lsn_start >= a_lsn_end and b_id <> a_id")
     # Newer images together cover a layer if their merged parts add up to its width.
     clipped = over.select(F.col("a_id").alias("id"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"), (F.col("a_end") - F.col("a_start")).alias("width"))
     w = Window.partitionBy("id").orderBy("start", "end")
@@ -62,10 +74,47 @@ def collectable(layers: DataFrame, space_cutoff: int, time_cutoff: int, retain:
 
 
 def gc_cutoffs(inputs: DataFrame) -> DataFrame:
-    """For rows (id, time_cutoff?, space_cutoff, pitr_on): the cutoffs by the four cases; the time cutoff is authoritative when it is known."""
-    t, s, on = F.col("time_cutoff"), F.col("space_cutoff"), F.col("pitr_on")
-    time = F.when(on & t.isNotNull(), t).when(on & t.isNull(), F.lit(0)).when(~on & t.isNotNull(), s).otherwise(s)
-    return inputs.select("id", time.cast("bigint").alias("time"), s.alias("space"), F.least(time, s).cast("bigint").alias("cutoff"))
+    """For rows (id, time_cutoff?, space_cutoff, pitr_on, last_lsn, applied_cutoff): ``id, time, space, cutoff``.
+
+    With time-based retention, a known time cutoff rules alone; an unknown one can't be past what was applied already. Without it, the
+    time side never keeps anything (it is the last position), and history goes beyond the size or a default age, whichever keeps less.
+    """
+    t, s, on, known = F.col("time_cutoff"), F.col("space_cutoff"), F.col("pitr_on"), F.col("time_cutoff").isNotNull()
+    time = F.when(on & known, t).when(on, F.col("applied_cutoff")).otherwise(F.col("last_lsn"))
+    space = F.when(on & known, t).when(~on & known, F.greatest(t, s)).otherwise(s)
+    return inputs.select("id", time.cast("bigint").alias("time"), space.cast("bigint").alias("space"), F.least(time, space).cast("bigint").alias("cutoff"))
+
+
+def grant_leases(asked: DataFrame, leases: DataFrame, applied: int, planned: int, grace: bool = False) -> DataFrame:
+    """Requests (id, lsn, valid_until, initial) against leases (lsn, valid_until): ``id, lsn, valid_until, status``.
+
+    A lease at the position is ``renewed`` and never shortened. A new one is ``refused`` (valid_until null) below the applied cutoff; below the planned
+    cutoff too, but for renewals in the grace period. Otherwise it is ``granted``. Requests of one position see each other's longest grant.
+    """
+    held = leases.groupBy("lsn").agg(F.max("valid_until").alias("held"))
+    at = asked.join(held, "lsn", "left")
+    blocked = (F.col("lsn") < applied) | ((F.col("initial") | F.lit(not grace)) & (F.col("lsn") < planned))
+    status = F.when(F.col("held").isNotNull(), "renewed").when(blocked, "refused").otherwise("granted")
+    judged = at.withColumn("status", status)
+    longest = judged.where("status <> 'refused'").groupBy("lsn").agg(F.max(F.greatest("valid_until", "held")).alias("until"))
+    out = judged.join(longest, "lsn", "left")
+    return out.select("id", "lsn", F.when(F.col("status") != "refused", F.col("until")).alias("valid_until"), "status")
+
+
+def retile(rows: DataFrame, target: int, giant: int) -> DataFrame:
+    """Change rows (key, lsn, bytes) with ``tile``, the file each goes to when level-0 files are rewritten by key.
+
+    Tiles hold whole keys in order of key, a new one after every ``target`` bytes; a key of over ``giant`` bytes has
+    tiles of its own, cut by position after every ``target`` bytes of it. ``tile`` is (first key's span, part).
+    """
+    keys = rows.groupBy("key").agg(F.sum("bytes").alias("_size"))
+    upto = with_running(keys, "key", {"_size": "_upto"})
+    span = F.floor((F.col("_upto") - F.col("_size")) / target).cast("bigint")
+    placed = rows.join(upto.select("key", (F.col("_size") > giant).alias("_alone"), span.alias("_span")), "key")
+    run = Window.partitionBy("key").orderBy("lsn").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.where("not _alone").withColumn("part", F.lit(0).cast("bigint"))
+    cut = placed.where("_alone").withColumn("part", (F.floor(F.coalesce(F.sum("bytes").over(run), F.lit(0)) / target) + 1).cast("bigint"))
+    return whole.unionByName(cut).select("key", "lsn", "bytes", F.struct(F.col("_span").alias("span"), F.when(F.col("_alone"), F.col("key")).alias("alone"), "part").alias("tile"))
 
 
 def contiguous_l0(layers: DataFrame) -> DataFrame:
@@ -94,7 +143,7 @@ def visible(layers: DataFrame, points: DataFrame) -> DataFrame:
     """Layers that some read point (lsn) needs: newer images at or below the point don't cover all their keys. ``points`` is a few rows."""
     asked = layers.join(F.broadcast(points.select(F.col("lsn").alias("point")))).where("lsn_start <= point")
     images = layers.where("kind = 'image'").select("id", "start", "end", "lsn_start")
-    over = overlap_join(asked, images, 100).where("b_id <> a_id and b_lsn_start >= a_lsn_end and b_lsn_start <= a_point")
+    over = overlap_join(asked, images).where("b_id <> a_id and b_lsn_start >= a_lsn_end and b_lsn_start <= a_point")
     clipped = over.select(F.col("a_id").alias("id"), F.col("a_point").alias("point"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"), (F.col("a_end") - F.col("a_start")).alias("width"))
     w = Window.partitionBy("id", "point").orderBy("start", "end")
     before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("start"))

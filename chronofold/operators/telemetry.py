@@ -101,6 +101,34 @@ def place(shards: DataFrame, nodes: DataFrame) -> DataFrame:
     return shards.join(in_zone, "az", "left").join(F.broadcast(anywhere)).select("shard", F.coalesce("own.node", "any.node").alias("node"))
 
 
+def size_inputs(timelines: DataFrame, branch_points: DataFrame, leases: DataFrame) -> DataFrame:
+    """``timeline, id, lsn, kind, needed, parent``: the segments that :func:`tree_size` weighs, numbered from 1 in each timeline.
+
+    Timelines are (timeline, start, cutoff, last); branch points and leases (timeline, lsn) count above the start. A point above the cutoff
+    is needed, and so are the end and what is leased. A lease is a branch of its own that writes nothing: its start hangs on its point and its end on
+    its start, while the timeline goes on from the point. Where the cutoff is not above the start, the start itself is needed.
+    """
+    kinds = {"branch_start": 0, "branch_point": 1, "gc_cutoff": 2, "lease_point": 3, "branch_end": 9}
+    t = timelines.select("timeline", "start", "cutoff", "last")
+
+    def rows(df: DataFrame, lsn: str, kind: str, needed: Column) -> DataFrame:
+        return df.select("timeline", F.col(lsn).cast("bigint").alias("lsn"), F.lit(kinds[kind]).alias("_k"), F.lit(kind).alias("kind"), needed.alias("needed"))
+
+    above = lambda points: points.select("timeline", "lsn").distinct().join(t, "timeline").where("lsn > start")
+    new = F.col("lsn") > F.col("cutoff")
+    leased = rows(above(leases), "lsn", "lease_point", new)
+    every = rows(t, "start", "branch_start", F.col("cutoff") <= F.col("start")).unionByName(rows(above(branch_points), "lsn", "branch_point", new))
+    every = every.unionByName(rows(t.where("cutoff > start"), "cutoff", "gc_cutoff", F.lit(False))).unionByName(leased).unionByName(rows(t, "last", "branch_end", F.lit(True)))
+    mine = F.when(F.col("kind") == "lease_point", F.array(F.struct(F.lit(0).alias("j"), "kind", "needed"), F.struct(F.lit(1).alias("j"), F.lit("lease_start").alias("kind"), "needed"), F.struct(F.lit(2).alias("j"), F.lit("lease_end").alias("kind"), F.lit(True).alias("needed"))))
+    laid = every.withColumn("x", F.explode(F.coalesce(mine, F.array(F.struct(F.lit(0).alias("j"), "kind", "needed"))))).select("timeline", "lsn", "_k", "x.*")
+    place = F.when(F.col("_k") == 0, 0).when(F.col("_k") == 9, 2).otherwise(1)
+    w = Window.partitionBy("timeline").orderBy(place, "lsn", "_k", "j")
+    numbered = laid.withColumn("id", F.row_number().over(w).cast("bigint"))
+    trunk = F.last(F.when(F.col("j") == 0, F.col("id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parent = F.when(F.col("j") > 0, F.col("id") - 1).otherwise(trunk)
+    return numbered.select("timeline", "id", "lsn", "kind", "needed", parent.cast("bigint").alias("parent"))
+
+
 def tree_size(segments: DataFrame) -> DataFrame:
     """``tenant, size``: the least cost of keeping each needed point of a branch tree readable.
 

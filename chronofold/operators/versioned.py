@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.cuts import cut
+
 
 def latest(history: DataFrame, as_of: int | Column | None = None, key: str = "key", lsn: str = "lsn") -> DataFrame:
     """The newest version of each key; one aggregation, combined before the shuffle."""
@@ -18,26 +20,45 @@ def latest(history: DataFrame, as_of: int | Column | None = None, key: str = "ke
     return seen.groupBy(key).agg(F.max_by(F.struct(*others), F.col(lsn)).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in others])
 
 
+#: Spans of position that a key's versions are dealt into, so that one key's history is not one task.
+SPANS = 512
+
+
 def as_of_join(requests: DataFrame, history: DataFrame, key: str, at: str, lsn: str, take: list[str]) -> DataFrame:
     """Each request with the newest version of its key at or below ``at``.
 
-    Requests and versions are one sorted stream per key and the last version is carried forward, so the work is a
-    sort by key, not a join of every request with every version.
+    Requests and versions are sorted together within a key and a span of positions, and the last version is carried forward; what a
+    span starts with is the newest version of the spans before it, one row a key and span. So the work is a sort, not a join of every
+    request with every version, and a hot key is many tasks.
     """
+    ends = history.agg(F.min(lsn).alias("lo"), F.max(lsn).alias("hi")).first()
+    lo = int(ends["lo"] or 0)
+    width = max(1, -(-(int(ends["hi"] or 0) - lo + 1) // SPANS))
+    span = lambda t: F.least(F.greatest(F.floor((F.col(t) - lo) / width), F.lit(-1)), F.lit(SPANS)).cast("int")
     value = F.struct(lsn, *[c for c in take if c != lsn])
-    names = [c for c in requests.columns]
-    a = requests.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_o"), F.struct(*names).alias("_r"), F.lit(None).cast(history.select(value.alias("v")).schema["v"].dataType).alias("_v"))
-    b = history.select(F.col(key).alias("_k"), F.col(lsn).alias("_t"), F.lit(0).alias("_o"), F.lit(None).cast(a.schema["_r"].dataType).alias("_r"), value.alias("_v"))
-    w = Window.partitionBy("_k").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_o = 1")
-    return carried.select("_r.*", *[F.col(f"_v.{c}").alias(f"found_{c}") for c in dict.fromkeys([lsn, *take])])
+    kind = history.select(value.alias("v")).schema["v"].dataType
+    a = requests.select(F.col(key).alias("_k"), F.col(at).alias("_t"), span(at).alias("_s"), F.lit(1).alias("_o"), F.struct(*requests.columns).alias("_r"), F.lit(None).cast(kind).alias("_v"))
+    b = history.select(F.col(key).alias("_k"), F.col(lsn).alias("_t"), span(lsn).alias("_s"), F.lit(0).alias("_o"), F.lit(None).cast(a.schema["_r"].dataType).alias("_r"), value.alias("_v"))
+    heads = b.groupBy("_k", "_s").agg(F.max_by("_v", "_t").alias("_v")).unionByName(a.select("_k", "_s", "_v").distinct())
+    heads = heads.groupBy("_k", "_s").agg(F.first("_v", ignorenulls=True).alias("_v"))
+    before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # at most SPANS + 2 rows
+    carried = heads.select("_k", "_s", F.last("_v", ignorenulls=True).over(before).alias("_c"))
+    inside = Window.partitionBy("_k", "_s").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionByName(b).withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where("_o = 1")
+    found = found.join(carried, ["_k", "_s"], "left")
+    return found.withColumn("_v", F.coalesce("_v", "_c")).select("_r.*", *[F.col(f"_v.{c}").alias(f"found_{c}") for c in dict.fromkeys([lsn, *take])])
 
 
 def visited(requests: DataFrame, history: DataFrame) -> DataFrame:
-    """For requests ``(key, at)``: the versions a read visits, from the newest image at or below ``at`` on, or all if there is none."""
-    base = as_of_join(requests, history.where("will_init"), "key", "at", "lsn", ["lsn"])
-    h = history.select("key", "lsn", "will_init", "payload")
-    return base.join(h, "key").where("lsn <= at and (found_lsn is null or lsn >= found_lsn)").drop("found_lsn")
+    """For requests ``(key, at)``: the versions a read visits, from the newest image at or below ``at`` on, or all if there is none.
+
+    Versions are numbered by the image they follow, and a request meets those of its image only, not the key's whole history.
+    """
+    images = history.where("will_init").select("key", "lsn")
+    base = as_of_join(requests, images, "key", "at", "lsn", ["lsn"]).select(*[F.col(c) for c in requests.columns], F.coalesce("found_lsn", F.lit(-1)).alias("_base"))
+    h = as_of_join(history.select("key", "lsn", "will_init", "payload"), images, "key", "lsn", "lsn", ["lsn"])
+    h = h.select("key", "lsn", "will_init", "payload", F.coalesce("found_lsn", F.lit(-1)).alias("_base"))
+    return base.join(h, ["key", "_base"]).where("lsn <= at").drop("_base")
 
 
 def reconstruct(requests: DataFrame, history: DataFrame) -> DataFrame:
@@ -60,28 +81,68 @@ def fold_test_records(history: DataFrame) -> DataFrame:
 
 
 def branch_caps(branches: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``branch, source, cap``: what each branch reads from itself and its ancestors, and up to which lsn.
+    """``branch, source, cap, depth``: what each branch reads from itself and its ancestors, and up to which lsn.
 
     ``branches`` is (branch, parent, branch_lsn). A read passes to the parent with its bound lowered to the smallest branching
     point on the way. One small join a level of the tree.
     """
     top = F.lit(9223372036854775807).cast("bigint")
-    level = branches.select("branch", F.col("branch").alias("source"), top.alias("cap"))
+    level = branches.select("branch", F.col("branch").alias("source"), top.alias("cap"), F.lit(0).alias("depth"))
     out = level
     up = branches.select(F.col("branch").alias("source"), "parent", "branch_lsn").where("parent is not null")
     for _ in range(max_depth):
-        level = level.join(up, "source").select("branch", F.col("parent").alias("source"), F.least("cap", "branch_lsn").alias("cap"))
+        level = level.join(up, "source").select("branch", F.col("parent").alias("source"), F.least("cap", "branch_lsn").alias("cap"), (F.col("depth") + 1).alias("depth"))
         if level.isEmpty():
             break
         out = out.unionByName(level)
     return out
 
 
+def inherited_read(history: DataFrame, branches: DataFrame, not_inherited: list[tuple[int, int]], images: DataFrame | None = None) -> DataFrame:
+    """``branch, key, lsn, payload``: the newest version of each key that a branch sees, with the rules of a read that descends to ancestors.
+
+    Keys in the ranges ``not_inherited`` are looked up in the branch alone. Where an image (``branch, start, end, lsn``) of a
+    branch on the way covers a key that the branch itself doesn't hold at or below the bound there, the key doesn't exist: the search stops.
+    """
+    level = cut(branch_caps(branches), "branches")
+    seen = _view(history, level)
+    inherited = F.lit(True)
+    for start, end in not_inherited:
+        inherited = inherited & ~((F.col("key") >= start) & (F.col("key") < end))
+    seen = seen.where((F.col("branch") == F.col("source")) | inherited)
+    per = seen.groupBy("branch", "source", "key").agg(F.max("lsn").alias("lsn"), F.max_by("payload", "lsn").alias("payload")).join(level.select("branch", "source", "depth"), ["branch", "source"])
+    best = per.groupBy("branch", "key").agg(F.min_by(F.struct("lsn", "payload", "depth"), "depth").alias("v")).select("branch", "key", "v.*")
+    if images is not None:
+        from chronofold.operators.keyspace import overlap_join
+
+        walls = images.withColumnRenamed("branch", "source").withColumnRenamed("lsn", "image_lsn").join(level, "source").where("image_lsn <= cap").select("start", "end", "branch", "depth")
+        points = best.select(F.col("key").alias("start"), (F.col("key") + 1).alias("end"), "branch", "depth")
+        stopped = overlap_join(points, walls).where("a_branch = b_branch and b_depth < a_depth").select(F.col("a_branch").alias("branch"), F.col("a_start").alias("key")).distinct()
+        best = best.join(stopped, ["branch", "key"], "left_anti")
+    return best.select("branch", "key", "lsn", "payload")
+
+
+def detach(history: DataFrame, branches: DataFrame, branch: int) -> tuple[DataFrame, DataFrame]:
+    """History and branches after ``branch`` left its ancestor: it holds a copy of what it inherited, and no parent.
+
+    Branches that left the ancestor at or before the point where ``branch`` did, siblings of it, become its children: what they see is in the copy.
+    """
+    own = branches.where(F.col("branch") == branch).select(F.col("parent").alias("_p"), F.col("branch_lsn").alias("_l"))
+    copied = branch_view(history, branches).where((F.col("branch") == branch) & (F.col("source") != branch)).drop("source")
+    marked = branches.join(F.broadcast(own))
+    moved = (F.col("branch") != branch) & (F.col("parent") == F.col("_p")) & (F.col("branch_lsn") <= F.col("_l"))
+    parent = F.when(F.col("branch") == branch, F.lit(None)).when(moved, F.lit(branch)).otherwise(F.col("parent"))
+    after = marked.select("branch", parent.cast("bigint").alias("parent"), F.when(F.col("branch") == branch, F.lit(None)).otherwise(F.col("branch_lsn")).cast("bigint").alias("branch_lsn"))
+    return history.unionByName(copied.select(*history.columns)), after
+
+
 def branch_view(history: DataFrame, branches: DataFrame) -> DataFrame:
     """The history each branch sees, its own and inherited; inherited versions stop at the branching point."""
-    caps = branch_caps(branches)
-    h = history.withColumnRenamed("branch", "source")
-    return h.join(caps, "source").where("lsn <= cap").drop("cap")
+    return _view(history, branch_caps(branches))
+
+
+def _view(history: DataFrame, caps: DataFrame) -> DataFrame:
+    return history.withColumnRenamed("branch", "source").join(caps, "source").where("lsn <= cap").drop("cap", "depth")
 
 
 def drop_tombstones(state: DataFrame, payload: str = "payload") -> DataFrame:
@@ -89,16 +150,30 @@ def drop_tombstones(state: DataFrame, payload: str = "payload") -> DataFrame:
     return state.where(F.coalesce(F.col(payload), F.lit("")) != "")
 
 
-def lsn_for_timestamp(commits: DataFrame, at: Column) -> DataFrame:
-    """One row ``lsn, verdict`` for a time: the 8-aligned position just below the first commit at or after it.
+def lsn_for_timestamp(commits: DataFrame, at: Column, least: int = 0) -> DataFrame:
+    """One row ``lsn, verdict`` for a time: the 8-aligned position just below the first commit at or after it, or that of the last commit.
 
-    verdict: ``present`` with commits on both sides, ``future`` with none after, ``past`` with none before, ``nodata``.
+    verdict: ``present`` with commits on both sides, ``future`` with none after; ``past`` with none before, or where the position would lie below
+    ``least`` (what may be read), and ``nodata`` give ``least`` itself.
     """
+    return _located(commits.agg(*_sides(at)), least).select("lsn", "verdict")
+
+
+def lsn_for_timestamps(commits: DataFrame, asked: DataFrame, least: int = 0) -> DataFrame:
+    """``timeline, lsn, verdict``: :func:`lsn_for_timestamp` of each timeline's commits (timeline, lsn, ts) and its time (timeline, at)."""
+    both = asked.join(commits, "timeline", "left")
+    return _located(both.groupBy("timeline").agg(*_sides(F.col("at"))), least).select("timeline", "lsn", "verdict")
+
+
+def _sides(at: Column) -> list[Column]:
     later, earlier = F.col("ts") >= at, F.col("ts") < at
-    s = commits.agg(F.min(F.when(later, F.col("lsn"))).alias("lo"), F.max("lsn").alias("top"), F.max(later.cast("int")).alias("larger"), F.max(earlier.cast("int")).alias("smaller"))
-    aligned = lambda c: F.floor(c / 8).cast("bigint") * 8
-    verdict = F.when((F.col("larger") == 1) & (F.col("smaller") == 1), "present").when(F.col("smaller") == 1, "future").when(F.col("larger") == 1, "past").otherwise("nodata")
-    return s.select(F.when(F.col("larger") == 1, aligned(F.col("lo") - 1)).otherwise(aligned(F.col("top"))).alias("lsn"), verdict.alias("verdict"))
+    return [F.min(F.when(later, F.col("lsn"))).alias("lo"), F.max("lsn").alias("top"), F.coalesce(F.max(later), F.lit(False)).alias("larger"), F.coalesce(F.max(earlier), F.lit(False)).alias("smaller")]
+
+
+def _located(sides: DataFrame, least: int) -> DataFrame:
+    found = F.floor(F.when(F.col("larger"), F.col("lo") - 1).otherwise(F.col("top")) / 8).cast("bigint") * 8
+    verdict = F.when(~F.col("smaller") & ~F.col("larger"), "nodata").when(~F.col("smaller") | (found < least), "past").when(F.col("larger"), "present").otherwise("future")
+    return sides.withColumn("verdict", verdict).withColumn("lsn", F.when(F.col("verdict").isin("present", "future"), found).otherwise(F.lit(least)).cast("bigint"))
 
 
 def timestamp_for_lsn(commits: DataFrame, lsn: int) -> DataFrame:

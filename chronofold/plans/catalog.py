@@ -42,32 +42,34 @@ _H = "h AS (SELECT user_id AS key, event_id AS lsn, event_type = 'signup' AS wil
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 97 = 0").select(((F.col("user_id") * 7) % 160).alias("key"), F.col("event_id").alias("at"))
+    return table(spark, sf_dir, "events").select(((F.col("user_id") * 7) % 160).alias("key"), F.col("event_id").alias("at"))
 
 
-_R = "r AS (SELECT DISTINCT (user_id * 7) % 160 AS key, event_id AS at FROM events WHERE event_id % 97 = 0)"
+_R = "r AS (SELECT DISTINCT (user_id * 7) % 160 AS key, event_id AS at FROM events)"
 
 
-def layer_map(spark: SparkSession) -> DataFrame:
-    """Two hundred made-up layers."""
-    i, n = F.col("id"), spark.range(200)
-    image, start, low = i % 5 == 0, (i * 37) % 100 * 10, 100 + (i * 13) % 400
-    return n.select("id", F.when(image, "image").otherwise("delta").alias("kind"), start.alias("start"), (start + 50 + (i % 7) * 20).alias("end"), low.alias("lsn_start"), F.when(image, low + 1).otherwise(low + 20 + (i % 9) * 10).alias("lsn_end"), (1000 + i * 17).alias("size"))
+def layer_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers, one a customer: every fifth an image, some deltas of level 0."""
+    i = F.col("id")
+    image, start, low = i % 5 == 0, (i * 37) % 1000 * 10, 100 + (i * 13) % 400
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return n.select("id", F.when(image, "image").otherwise("delta").alias("kind"), start.alias("start"), (start + 50 + (i % 7) * 20).alias("end"), low.alias("lsn_start"), F.when(image, low + 1).otherwise(low + 20 + (i % 9) * 10).alias("lsn_end"), (1000 + i * 17).alias("size"), ((i % 10 == 3) & (low > 250)).alias("l0"))
 
 
-_L = 'l AS (SELECT id, CASE WHEN id % 5 = 0 THEN \'image\' ELSE \'delta\' END AS kind, (id * 37) % 100 * 10 AS s, (id * 37) % 100 * 10 + 50 + (id % 7) * 20 AS e, 100 + (id * 13) % 400 AS ls, 100 + (id * 13) % 400 + CASE WHEN id % 5 = 0 THEN 1 ELSE 20 + (id % 9) * 10 END AS le, 1000 + id * 17 AS size FROM range(200) t(id))'
+_L = "l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'image' ELSE 'delta' END AS kind, (c_custkey * 37) % 1000 * 10 AS s, (c_custkey * 37) % 1000 * 10 + 50 + (c_custkey % 7) * 20 AS e, 100 + (c_custkey * 13) % 400 AS ls, 100 + (c_custkey * 13) % 400 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 20 + (c_custkey % 9) * 10 END AS le, 1000 + c_custkey * 17 AS size, c_custkey % 10 = 3 AND 100 + (c_custkey * 13) % 400 > 250 AS l0 FROM customer)"
 
 
-def _ranges(spark: SparkSession, step: int, width: int) -> DataFrame:
-    return spark.range(60).select(((F.col("id") * step) % 997).alias("start"), ((F.col("id") * step) % 997 + width + F.col("id") % 5).alias("end"))
+def _ranges(spark: SparkSession, sf_dir: str, step: int, width: int) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(((k * step) % 29989).alias("start"), ((k * step) % 29989 + width + k % 5).alias("end"))
 
 
 def _ranges_sql(name: str, step: int, width: int) -> str:
-    return f"{name} AS (SELECT (id * {step}) % 997 AS s, (id * {step}) % 997 + {width} + id % 5 AS e FROM range(60) t(id))"
+    return f"{name} AS (SELECT (p_partkey * {step}) % 29989 AS s, (p_partkey * {step}) % 29989 + {width} + p_partkey % 5 AS e FROM part)"
 
 
 # Sets of ranges by their single keys: an independent way for small keyspaces.
-_KEYS = "k AS (SELECT id AS key FROM range(1400) t(id))"
+_KEYS = "k AS (SELECT id AS key FROM range(31000) t(id))"
 _ISLANDS = "SELECT min(key) AS start, max(key) + 1 AS \"end\" FROM (SELECT key, key - row_number() OVER (ORDER BY key) AS g FROM hit) GROUP BY g"
 
 
@@ -100,6 +102,13 @@ def s03(spark, sf):
     return versioned.latest(history(spark, sf).where("key between 10 and 90"), 5000).select("key", "lsn", "payload")
 
 
+@case("W01_row_numbers", "SELECT count(*) AS n, min(r) AS first, max(r) AS last, count(DISTINCT r) AS kinds FROM (SELECT row_number() OVER () AS r FROM orders)")
+def w01(spark, sf):
+    from chronofold.operators.ordered import numbered
+
+    return numbered(table(spark, sf, "orders").select("o_orderkey"), "r").agg(F.count("*").alias("n"), F.min("r").alias("first"), F.max("r").alias("last"), F.countDistinct("r").alias("kinds"))
+
+
 @case("W02_latest_version", f"WITH {_H} SELECT key, lsn, payload FROM h QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1")
 def w02(spark, sf):
     return versioned.latest(history(spark, sf)).select("key", "lsn", "payload")
@@ -115,9 +124,9 @@ def j13(spark, sf):
     return versioned.as_of_join(requests(spark, sf).distinct(), history(spark, sf), "key", "at", "lsn", ["lsn", "payload"])
 
 
-@case("S10_relation_page_read", "WITH q AS (SELECT o_orderkey AS rel, ln AS blk FROM orders, range(1, 9) t(ln) WHERE o_orderkey % 50 = 0) SELECT q.rel, q.blk, coalesce(max(round(l_extendedprice, 2)), 0) AS page, CASE WHEN q.blk > max(c.n) THEN 'zero' ELSE 'ok' END AS state FROM q LEFT JOIN lineitem ON l_orderkey = rel AND l_linenumber = blk LEFT JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS n FROM lineitem GROUP BY 1) c ON c.k = q.rel GROUP BY q.rel, q.blk HAVING max(c.n) IS NOT NULL")
+@case("S10_relation_page_read", "WITH q AS (SELECT o_orderkey AS rel, ln AS blk FROM orders, range(1, 9) t(ln)) SELECT q.rel, q.blk, coalesce(max(round(l_extendedprice, 2)), 0) AS page, CASE WHEN q.blk > max(c.n) THEN 'zero' ELSE 'ok' END AS state FROM q LEFT JOIN lineitem ON l_orderkey = rel AND l_linenumber = blk LEFT JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS n FROM lineitem GROUP BY 1) c ON c.k = q.rel GROUP BY q.rel, q.blk HAVING max(c.n) IS NOT NULL")
 def s10(spark, sf):
-    rels = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("rel"))
+    rels = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rel"))
     pages = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rel"), F.col("l_linenumber").cast("bigint").alias("blk"), F.round("l_extendedprice", 2).alias("p"))
     sizes = pages.groupBy("rel").agg(F.max("blk").alias("n"))
     asked = rels.join(sizes, "rel").withColumn("blk", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(8).cast("bigint"))))
@@ -125,9 +134,9 @@ def s10(spark, sf):
     return got.select("rel", "blk", F.coalesce("p", F.lit(0.0)).alias("page"), F.when(F.col("blk") > F.col("n"), "zero").otherwise("ok").alias("state"))
 
 
-@case("S11_slru_segment", "SELECT event_type AS kind, event_id // 500 AS segno, string_agg(CAST(event_id AS VARCHAR), '' ORDER BY event_id) AS content FROM events WHERE event_id < 2000 GROUP BY 1, 2")
+@case("S11_slru_segment", "SELECT event_type AS kind, event_id // 500 AS segno, string_agg(CAST(event_id AS VARCHAR), '' ORDER BY event_id) AS content FROM events GROUP BY 1, 2")
 def s11(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 2000")
+    e = table(spark, sf, "events")
     return e.groupBy(F.col("event_type").alias("kind"), F.floor(F.col("event_id") / 500).alias("segno")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), "").alias("content"))
 
 
@@ -149,9 +158,9 @@ def f23(spark, sf):
     return _live(spark, sf).agg(F.count("*").alias("live"))
 
 
-@case("S13_existence", _LIVE + "SELECT c_custkey, EXISTS (SELECT 1 FROM v WHERE kind <> 'error' AND key = c_custkey) AS found FROM customer WHERE c_custkey < 200")
+@case("S13_existence", _LIVE + "SELECT c_custkey, EXISTS (SELECT 1 FROM v WHERE kind <> 'error' AND key = c_custkey) AS found FROM customer")
 def s13(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 200").select("c_custkey")
+    c = table(spark, sf, "customer").select("c_custkey")
     return c.join(_live(spark, sf).select(F.col("key").alias("c_custkey"), F.lit(True).alias("f")), "c_custkey", "left").select("c_custkey", F.coalesce("f", F.lit(False)).alias("found"))
 
 
@@ -181,20 +190,54 @@ _CAPS = "WITH RECURSIVE b AS (SELECT id AS branch, CASE WHEN id > 0 THEN (id - 1
 
 @case("J15_ancestor_caps", _CAPS + " SELECT branch, source, CAST(cap AS BIGINT) AS cap FROM c")
 def j15(spark, sf):
-    return versioned.branch_caps(_branches(spark))
+    return versioned.branch_caps(_branches(spark)).drop("depth")
 
 
-@case("F05_branch_read", _CAPS + ", h AS (SELECT event_id % 8 AS source, user_id AS key, event_id AS lsn, event_type AS payload FROM events) SELECT c.branch, h.key, max(h.lsn) AS lsn, arg_max(h.payload, h.lsn) AS payload FROM c JOIN h ON h.source = c.source AND h.lsn <= c.cap GROUP BY c.branch, h.key")
-def f05(spark, sf):
-    h = table(spark, sf, "events").select((F.col("event_id") % 8).alias("branch"), F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), F.col("event_type").alias("payload"))
-    seen = versioned.branch_view(h, _branches(spark))
+_BH = "h AS (SELECT event_id % 8 AS source, user_id AS key, event_id AS lsn, event_type AS payload FROM events)"
+
+
+def _branch_history(spark, sf):
+    return table(spark, sf, "events").select((F.col("event_id") % 8).alias("branch"), F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), F.col("event_type").alias("payload"))
+
+
+def _newest(seen: DataFrame) -> DataFrame:
     return seen.groupBy("branch", "key").agg(F.max("lsn").alias("lsn"), F.max_by("payload", "lsn").alias("payload"))
 
 
-@case("F06_detach_ancestor", _CAPS + ", h AS (SELECT event_id % 8 AS source, user_id AS key, event_id AS lsn, event_type AS payload FROM events) SELECT h.key, h.lsn, h.payload FROM c JOIN h ON h.source = c.source AND h.lsn <= c.cap WHERE c.branch = 5")
+@case("F05_branch_view", f"{_CAPS}, {_BH} SELECT c.branch, h.key, max(h.lsn) AS lsn, arg_max(h.payload, h.lsn) AS payload FROM c JOIN h ON h.source = c.source AND h.lsn <= c.cap GROUP BY c.branch, h.key")
+def f05v(spark, sf):
+    return _newest(versioned.branch_view(_branch_history(spark, sf), _branches(spark)))
+
+
+#: The nearest source that holds the key wins; keys 40 to 49 stay in their branch; images of sources 1 and 3 over keys 60 to 79 and 90 to 99 end the search.
+_F05 = f"""{_CAPS}, {_BH}, r AS (SELECT branch, source, cap, row_number() OVER (PARTITION BY branch ORDER BY source DESC) - 1 AS depth FROM c),
+p AS (SELECT r.branch, r.depth, h.key, max(h.lsn) AS lsn, arg_max(h.payload, h.lsn) AS payload FROM r JOIN h ON h.source = r.source AND h.lsn <= r.cap WHERE r.branch = r.source OR h.key NOT BETWEEN 40 AND 49 GROUP BY ALL),
+best AS (SELECT * FROM p QUALIFY depth = min(depth) OVER (PARTITION BY branch, key)),
+w AS (SELECT r.branch, r.depth, v.s, v.e FROM r JOIN (VALUES (1, 60, 80, 900), (3, 90, 100, 2000)) v(source, s, e, lsn) ON v.source = r.source AND v.lsn <= r.cap)
+SELECT branch, key, lsn, payload FROM best WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.branch = best.branch AND w.depth < best.depth AND key >= s AND key < e)"""
+
+
+@case("F05_branch_read", _F05)
+def f05(spark, sf):
+    images = spark.createDataFrame([(1, 60, 80, 900), (3, 90, 100, 2000)], "branch long, start long, end long, lsn long")
+    return versioned.inherited_read(_branch_history(spark, sf), _branches(spark), [(40, 50)], images)
+
+
+@case("F06_detach_ancestor", f"{_CAPS}, {_BH} SELECT h.key, h.lsn, h.payload FROM c JOIN h ON h.source = c.source AND h.lsn <= c.cap WHERE c.branch = 5")
 def f06(spark, sf):
-    h = table(spark, sf, "events").select((F.col("event_id") % 8).alias("branch"), F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), F.col("event_type").alias("payload"))
-    return versioned.branch_view(h, _branches(spark)).where("branch = 5").select("key", "lsn", "payload")
+    after, _ = versioned.detach(_branch_history(spark, sf), _branches(spark), 5)
+    return after.where("branch = 5").select("key", "lsn", "payload")
+
+
+#: What every branch sees is the same before and after one left its ancestor.
+@case("F06_detached_views", f"{_CAPS}, {_BH} SELECT c.branch, h.key, max(h.lsn) AS lsn, arg_max(h.payload, h.lsn) AS payload FROM c JOIN h ON h.source = c.source AND h.lsn <= c.cap GROUP BY c.branch, h.key")
+def f06v(spark, sf):
+    return _newest(versioned.branch_view(*versioned.detach(_branch_history(spark, sf), _branches(spark), 5)))
+
+
+@case("F06_detached_branches", "WITH b AS (SELECT id AS branch, CASE WHEN id > 0 THEN (id - 1) // 2 END AS parent, id * 1000 + 500 AS branched FROM range(8) t(id)) SELECT branch, CASE WHEN branch = 6 THEN NULL WHEN branch = 5 THEN 6 ELSE parent END AS parent, CASE WHEN branch <> 6 THEN branched END AS branch_lsn FROM b")
+def f06b(spark, sf):
+    return versioned.detach(_branch_history(spark, sf), _branches(spark), 6)[1]
 
 
 @case("F07_lsn_for_timestamp", "WITH c AS (SELECT event_id * 16 + 8 AS lsn, ts FROM events), t AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half FROM c) SELECT CAST(((min(lsn) FILTER (WHERE ts >= half) - 1) // 8) * 8 AS BIGINT) AS lsn, 'present' AS verdict FROM c, t")
@@ -205,15 +248,30 @@ def f07(spark, sf):
     return versioned.lsn_for_timestamp(c, F.lit(at).cast("timestamp_ntz"))
 
 
+@case("F07_verdicts", "WITH c AS (SELECT event_id * 16 + 8 AS lsn, ts, user_id AS t FROM events), q AS (SELECT user_id AS t, min(ts) + INTERVAL '3 hours' AS asked FROM events GROUP BY 1), m AS (SELECT q.t, min(lsn) FILTER (WHERE ts >= asked) AS lo, max(lsn) AS top, bool_or(ts < asked) AS smaller FROM q JOIN c USING (t) GROUP BY q.t), v AS (SELECT t, CASE WHEN lo IS NOT NULL THEN (lo - 1) // 8 * 8 ELSE top // 8 * 8 END AS lsn, lo IS NOT NULL AS larger, smaller FROM m) SELECT t AS timeline, CASE WHEN smaller AND lsn >= 2000 THEN lsn ELSE 2000 END AS lsn, CASE WHEN NOT smaller OR lsn < 2000 THEN 'past' WHEN larger THEN 'present' ELSE 'future' END AS verdict FROM v")
+def f07v(spark, sf):
+    c = table(spark, sf, "events").select((F.col("event_id") * 16 + 8).alias("lsn"), "ts", F.col("user_id").alias("timeline"))
+    asked = c.groupBy("timeline").agg((F.min("ts") + F.expr("INTERVAL 3 HOURS")).alias("at"))
+    return versioned.lsn_for_timestamps(c, asked, 2000)
+
+
 @case("F08_timestamp_for_lsn", "SELECT max(ts) AS ts FROM events WHERE event_id <= 5000")
 def f08(spark, sf):
     return versioned.timestamp_for_lsn(table(spark, sf, "events").select(F.col("event_id").alias("lsn"), "ts"), 5000)
 
 
-@case("F09_gc_cutoffs", "WITH i AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_nationkey * 10 AS BIGINT) END AS t, CAST(n_nationkey * 7 + 50 AS BIGINT) AS s, n_nationkey % 2 = 0 AS p FROM nation), c AS (SELECT id, CASE WHEN p THEN coalesce(t, 0) ELSE s END AS time, s AS space FROM i) SELECT id, time, space, least(time, space) AS cutoff FROM c")
+_CUTOFFS = """WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 > 0 THEN o_custkey * 10 END AS t, o_orderkey % 700 + 5000 AS s, o_orderstatus = 'F' AS pitr, 20000 + o_orderkey AS last, o_custkey * 3 AS applied FROM orders),
+c AS (SELECT id, t AS time, t AS space FROM i WHERE pitr AND t IS NOT NULL
+UNION ALL SELECT id, applied, s FROM i WHERE pitr AND t IS NULL
+UNION ALL SELECT id, last, CASE WHEN t > s THEN t ELSE s END FROM i WHERE NOT pitr AND t IS NOT NULL
+UNION ALL SELECT id, last, s FROM i WHERE NOT pitr AND t IS NULL)
+SELECT id, time, space, CASE WHEN time < space THEN time ELSE space END AS cutoff FROM c"""
+
+
+@case("F09_gc_cutoffs", _CUTOFFS)
 def f09(spark, sf):
-    k = F.col("n_nationkey")
-    i = table(spark, sf, "nation").select(k.alias("id"), F.when(k % 3 > 0, (k * 10).cast("bigint")).alias("time_cutoff"), (k * 7 + 50).cast("bigint").alias("space_cutoff"), (k % 2 == 0).alias("pitr_on"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    i = table(spark, sf, "orders").select(k.alias("id"), F.when(c % 3 > 0, c * 10).alias("time_cutoff"), (k % 700 + 5000).alias("space_cutoff"), (F.col("o_orderstatus") == "F").alias("pitr_on"), (k + 20000).alias("last_lsn"), (c * 3).alias("applied_cutoff"))
     return layers.gc_cutoffs(i)
 
 
@@ -227,12 +285,12 @@ def f11(spark, sf):
 
 @case("W10_coalesce_ranges", f"WITH {_KEYS}, {_ranges_sql('a', 37, 9)}, hit AS (SELECT DISTINCT key FROM k JOIN a ON key >= s AND key < e) {_ISLANDS}")
 def w10(spark, sf):
-    return keyspace.coalesce_ranges(_ranges(spark, 37, 9))
+    return keyspace.coalesce_ranges(_ranges(spark, sf, 37, 9))
 
 
 @case("X01_keyspace_union", f"WITH {_KEYS}, {_ranges_sql('a', 37, 9)}, {_ranges_sql('b', 53, 6)}, hit AS (SELECT DISTINCT key FROM k JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) u ON key >= s AND key < e) {_ISLANDS}")
 def x01(spark, sf):
-    return keyspace.union(_ranges(spark, 37, 9), _ranges(spark, 53, 6))
+    return keyspace.union(_ranges(spark, sf, 37, 9), _ranges(spark, sf, 53, 6))
 
 
 _BOTH = f"WITH {_KEYS}, {_ranges_sql('a', 37, 9)}, {_ranges_sql('b', 53, 6)}, ka AS (SELECT DISTINCT key FROM k JOIN a ON key >= s AND key < e), kb AS (SELECT DISTINCT key FROM k JOIN b ON key >= s AND key < e)"
@@ -240,30 +298,31 @@ _BOTH = f"WITH {_KEYS}, {_ranges_sql('a', 37, 9)}, {_ranges_sql('b', 53, 6)}, ka
 
 @case("X02_keyspace_difference", f"{_BOTH}, hit AS (SELECT key FROM ka EXCEPT SELECT key FROM kb) {_ISLANDS}")
 def x02(spark, sf):
-    return keyspace.difference(_ranges(spark, 37, 9), _ranges(spark, 53, 6))
+    return keyspace.difference(_ranges(spark, sf, 37, 9), _ranges(spark, sf, 53, 6))
 
 
 @case("X03_keyspace_intersect", f"{_BOTH}, hit AS (SELECT key FROM ka INTERSECT SELECT key FROM kb) {_ISLANDS}")
 def x03(spark, sf):
-    return keyspace.intersect(_ranges(spark, 37, 9), _ranges(spark, 53, 6))
+    return keyspace.intersect(_ranges(spark, sf, 37, 9), _ranges(spark, sf, 53, 6))
 
 
-@case("J14_range_overlap_join", f"WITH {_L}, q AS (SELECT id AS q, id * 25 AS s, id * 25 + 40 AS e FROM range(40) t(id)) SELECT q.q AS a_q, l.id AS b_id FROM q JOIN l ON q.s < l.e AND l.s < q.e")
+@case("J14_range_overlap_join", f"WITH {_L}, q AS (SELECT p_partkey AS q, (p_partkey * 25) % 10000 AS s, (p_partkey * 25) % 10000 + 40 AS e FROM part) SELECT q.q AS a_q, l.id AS b_id FROM q JOIN l ON q.s < l.e AND l.s < q.e")
 def j14(spark, sf):
-    q = spark.range(40).select(F.col("id").alias("q"), (F.col("id") * 25).alias("start"), (F.col("id") * 25 + 40).alias("end"))
-    return keyspace.overlap_join(q, layer_map(spark), 100).select("a_q", "b_id")
+    at = (F.col("p_partkey") * 25) % 10000
+    q = table(spark, sf, "part").select(F.col("p_partkey").alias("q"), at.alias("start"), (at + 40).alias("end"))
+    return keyspace.overlap_join(q, layer_map(spark, sf)).select("a_q", "b_id")
 
 
 @case("X04_containment", f"WITH {_L} SELECT a.id AS a_id, count(*) AS n FROM l a JOIN l b ON a.s <= b.s AND b.e <= a.e AND a.id <> b.id GROUP BY a.id")
 def x04(spark, sf):
-    m = layer_map(spark).select("id", "start", "end")
-    return keyspace.overlap_join(m, m, 100).where("a_start <= b_start and b_end <= a_end and a_id <> b_id").groupBy("a_id").agg(F.count("*").alias("n"))
+    m = layer_map(spark, sf).select("id", "start", "end")
+    return keyspace.overlap_join(m, m).where("a_start <= b_start and b_end <= a_end and a_id <> b_id").groupBy("a_id").agg(F.count("*").alias("n"))
 
 
 @case("X05_keyspace_filter", f"WITH {_ranges_sql('a', 37, 9)} SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM a WHERE c_custkey >= s AND c_custkey < e)")
 def x05(spark, sf):
     points = table(spark, sf, "customer").select(F.col("c_custkey").alias("start"), (F.col("c_custkey") + 1).alias("end"), "c_custkey", "c_name")
-    return keyspace.overlap_join(points, keyspace.coalesce_ranges(_ranges(spark, 37, 9)), 50).select(F.col("a_c_custkey").alias("c_custkey"), F.col("a_c_name").alias("c_name"))
+    return keyspace.overlap_join(points, keyspace.coalesce_ranges(_ranges(spark, sf, 37, 9))).select(F.col("a_c_custkey").alias("c_custkey"), F.col("a_c_name").alias("c_name"))
 
 
 _DEPTH = f"WITH {_KEYS}, {_L}, d AS (SELECT key, count(*) AS depth FROM k JOIN l ON key >= s AND key < e WHERE kind = 'delta' GROUP BY key)"
@@ -271,13 +330,13 @@ _DEPTH = f"WITH {_KEYS}, {_L}, d AS (SELECT key, count(*) AS depth FROM k JOIN l
 
 @case("W11_stack_depth", f"{_DEPTH} SELECT max(depth) AS deepest, CAST(sum(depth) AS BIGINT) AS total FROM d")
 def w11(spark, sf):
-    d = keyspace.stack_depth(layer_map(spark).where("kind = 'delta'"))
+    d = keyspace.stack_depth(layer_map(spark, sf).where("kind = 'delta'"))
     return d.agg(F.max("depth").alias("deepest"), F.sum(F.col("depth") * (F.col("end") - F.col("start"))).alias("total"))
 
 
 @case("F16_image_trigger", f"{_DEPTH}, hit AS (SELECT key FROM d WHERE depth >= 12) {_ISLANDS}")
 def f16(spark, sf):
-    return keyspace.image_triggers(layer_map(spark).where("kind = 'delta'"), 12)
+    return keyspace.image_triggers(layer_map(spark, sf).where("kind = 'delta'"), 12)
 
 
 @case("W08_widest_holes", "WITH k AS (SELECT DISTINCT event_id AS key FROM events WHERE event_type = 'signup') SELECT key, next, next - key AS gap FROM (SELECT key, lead(key) OVER (ORDER BY key) AS next FROM k) WHERE next - key >= 10 ORDER BY gap DESC, key LIMIT 8")
@@ -300,38 +359,68 @@ def w07(spark, sf):
 # --- layers ------------------------------------------------------------------------------------
 
 
-@case("F18_select_layer", f"""WITH {_L}, p AS (SELECT id * 11 AS key, 150 + id * 5 AS t0 FROM range(80) t(id)) SELECT key, t0 AS "at", id AS layer FROM p JOIN l ON key >= s AND key < e AND ls <= t0 QUALIFY row_number() OVER (PARTITION BY key, t0 ORDER BY least(le, t0 + 1) DESC, (kind = 'image') DESC, ls DESC, id) = 1""")
+@case("F18_select_layer", f"""WITH {_L}, p AS (SELECT DISTINCT (p_partkey * 11) % 10000 AS key, 150 + (p_partkey * 5) % 400 AS t0 FROM part) SELECT key, t0 AS "at", id AS layer FROM p JOIN l ON key >= s AND key < e AND ls <= t0 QUALIFY row_number() OVER (PARTITION BY key, t0 ORDER BY least(le, t0 + 1) DESC, (kind = 'image') DESC, ls DESC, id) = 1""")
 def f18(spark, sf):
-    probes = spark.range(80).select((F.col("id") * 11).alias("key"), (150 + F.col("id") * 5).alias("at"))
-    return layers.select_layer(layer_map(spark), probes, 100)
+    k = F.col("p_partkey")
+    probes = table(spark, sf, "part").select(((k * 11) % 10000).alias("key"), (150 + (k * 5) % 400).alias("at")).distinct()
+    return layers.select_layer(layer_map(spark, sf), probes)
 
 
 @case("F17_image_coverage", f"WITH {_L}, i AS (SELECT * FROM l WHERE kind = 'image' AND ls <= 350), c AS (SELECT DISTINCT s AS p FROM i UNION SELECT e FROM i), pieces AS (SELECT p AS s, lead(p) OVER (ORDER BY p) AS e FROM c) SELECT pieces.s AS start, pieces.e AS \"end\", max(i.ls) AS image_lsn FROM pieces JOIN i ON i.s <= pieces.s AND pieces.e <= i.e GROUP BY 1, 2")
 def f17(spark, sf):
-    return layers.image_coverage(layer_map(spark), 350)
+    return layers.image_coverage(layer_map(spark, sf), 350)
+
 
+#: By single keys, from the least start less one on: the newest image there, and the deltas above it; the delta at a key's end counts as well.
+_F19 = f"""WITH {_L}, {_KEYS}, b AS (SELECT coalesce(min(ls) FILTER (WHERE kind = 'delta' AND l0), 450) AS bound, min(s) - 1 AS lo, max(e) AS hi FROM l),
+ks AS (SELECT key FROM k, b WHERE key BETWEEN lo AND hi UNION SELECT lo FROM b),
+i AS (SELECT key, coalesce(max(le), 0) AS image FROM ks LEFT JOIN l ON kind = 'image' AND ls <= 450 AND key >= s AND key < e GROUP BY key),
+m AS (SELECT i.key, i.image, min(d.ls) AS nx FROM i LEFT JOIN l d ON d.kind = 'delta' AND i.key >= d.s - 1 AND i.key < d.e AND d.le > i.image
+    AND (i.key >= d.s OR EXISTS (SELECT 1 FROM l x WHERE x.kind = 'image' AND x.ls <= 450 AND (x.s = i.key + 1 OR x.e = i.key + 1)) OR i.key = (SELECT max(e) FROM l)) GROUP BY i.key, i.image)
+SELECT CAST(least(min(greatest(image, least(bound, coalesce(nx, bound)) - 1)), min(bound) - 1) AS BIGINT) AS lsn FROM m, b"""
 
-@case("F19_consistent_lsn", f"WITH {_L}, n AS (SELECT i.id, i.ls, min(d.ls) AS nx FROM l i LEFT JOIN l d ON d.kind = 'delta' AND i.s < d.e AND d.s < i.e AND d.ls >= i.ls WHERE i.kind = 'image' GROUP BY i.id, i.ls) SELECT min(greatest(ls, coalesce(nx - 1, ls))) AS lsn FROM n")
+
+@case("F19_consistent_lsn", _F19)
 def f19(spark, sf):
-    return layers.consistent_lsn(layer_map(spark))
+    return layers.consistent_lsn(layer_map(spark, sf), 450)
 
 
 @case("F10_layer_gc", f"WITH {_L}, {_KEYS}, cov AS (SELECT a.id FROM l a WHERE NOT EXISTS (SELECT 1 FROM k WHERE key >= a.s AND key < a.e AND NOT EXISTS (SELECT 1 FROM l i WHERE i.kind = 'image' AND i.id <> a.id AND i.ls <= 400 AND i.ls >= a.le AND key >= i.s AND key < i.e))) SELECT id, CASE WHEN le > 450 THEN 'space_cutoff' WHEN le > 400 THEN 'time_cutoff' WHEN ls <= 130 THEN 'branch' WHEN ls <= 150 THEN 'lease' WHEN id NOT IN (SELECT id FROM cov) THEN 'not_covered' ELSE 'remove' END AS verdict FROM l")
 def f10(spark, sf):
     retain = spark.range(120, 131, 10).toDF("lsn")
     leases = spark.range(150, 151).toDF("lsn")
-    return layers.collectable(layer_map(spark), 450, 400, retain, leases)
+    return layers.collectable(layer_map(spark, sf), 450, 400, retain, leases)
 
 
-@case("F12_contiguous_l0", "SELECT id, id * 10 AS lsn_start, id * 10 + 10 AS lsn_end FROM range(17) t(id)")
+@case("F12_contiguous_l0", "WITH l AS (SELECT o_orderkey AS id, o_orderkey * 10 AS s, o_orderkey * 10 + CASE WHEN o_orderkey % 173 = 172 THEN 5 ELSE 10 END AS e FROM orders), g AS (SELECT *, lag(e) OVER (ORDER BY s, id) AS p FROM l) SELECT id, s AS lsn_start, e AS lsn_end FROM l WHERE id < (SELECT coalesce(min(id), 1000000000000) FROM g WHERE p <> s)")
 def f12(spark, sf):
-    i = F.col("id")
-    return layers.contiguous_l0(spark.range(40).select("id", (i * 10 + F.when(i >= 17, 5).otherwise(0)).alias("lsn_start"), (i * 10 + 10 + F.when(i >= 17, 5).otherwise(0)).alias("lsn_end")))
+    i = F.col("o_orderkey")
+    return layers.contiguous_l0(table(spark, sf, "orders").select(i.alias("id"), (i * 10).alias("lsn_start"), (i * 10 + F.when(i % 173 == 172, 5).otherwise(10)).alias("lsn_end")))
+
 
+#: Sizes of keys added up in order of key; keys of over 3000 bytes are cut by position.
+_TILES = """WITH r AS (SELECT user_id AS key, event_id AS lsn, 10 + event_id % 90 AS bytes FROM events), k AS (SELECT key, sum(bytes) AS z FROM r GROUP BY key),
+u AS (SELECT key, z, (sum(z) OVER (ORDER BY key) - z) // 8000 AS span FROM k),
+p AS (SELECT r.*, u.span, u.z > 3000 AS alone, CASE WHEN u.z > 3000 THEN (sum(bytes) OVER (PARTITION BY key ORDER BY lsn) - bytes) // 8000 + 1 ELSE 0 END AS part FROM r JOIN u USING (key))
+SELECT CAST(span AS BIGINT) AS span, CASE WHEN alone THEN key END AS alone, CAST(part AS BIGINT) AS part, count(*) AS n, min(key) AS first_key, max(key) AS last_key, min(lsn) AS first_lsn, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY 1, 2, 3"""
 
-@case("F20_lease_renew", "SELECT o_custkey AS lsn, max(CAST(o_orderkey AS BIGINT) + 100) AS valid_until FROM orders GROUP BY o_custkey")
+
+@case("F12_retile", _TILES)
+def f12t(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), (F.col("event_id") % 90 + 10).alias("bytes"))
+    return layers.retile(e, 8000, 3000).groupBy("tile.span", "tile.alone", "tile.part").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("lsn").alias("first_lsn"), F.sum("bytes").alias("bytes"))
+
+
+_LEASES = """WITH a AS (SELECT o_orderkey AS id, o_custkey * 10 AS lsn, o_orderkey + 100 AS until, o_orderstatus = 'F' AS initial FROM orders), h AS (SELECT c_custkey * 10 AS lsn, 5000 AS held FROM customer WHERE c_custkey % 3 = 0),
+j AS (SELECT a.*, held, CASE WHEN held IS NOT NULL THEN 'renewed' WHEN lsn < 300 OR initial AND lsn < 900 THEN 'refused' ELSE 'granted' END AS status FROM a LEFT JOIN h USING (lsn))
+SELECT id, lsn, CASE WHEN status <> 'refused' THEN max(CASE WHEN status <> 'refused' THEN greatest(until, coalesce(held, 0)) END) OVER (PARTITION BY lsn) END AS valid_until, status FROM j"""
+
+
+@case("F20_lease_renew", _LEASES)
 def f20(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("lsn")).agg(F.max(F.col("o_orderkey") + 100).alias("valid_until"))
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 10).alias("lsn"), (F.col("o_orderkey") + 100).alias("valid_until"), (F.col("o_orderstatus") == "F").alias("initial"))
+    held = table(spark, sf, "customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") * 10).alias("lsn"), F.lit(5000).cast("bigint").alias("valid_until"))
+    return layers.grant_leases(asked, held, 300, 900, grace=True)
 
 
 @case("F21_collect_keyspace", "SELECT l_orderkey AS rel, CAST(0 AS BIGINT) AS start, CAST(max(l_linenumber) AS BIGINT) AS \"end\" FROM lineitem GROUP BY l_orderkey")
@@ -343,18 +432,22 @@ def f21(spark, sf):
 
 @case("F22_zero_fill_gaps", "WITH n AS (SELECT l_orderkey AS rel, max(l_linenumber) AS m FROM lineitem GROUP BY 1) SELECT rel, CAST(b AS BIGINT) AS blk FROM n, range(1, 8) t(b) WHERE b <= m AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = rel AND l_linenumber = b)")
 def f22(spark, sf):
-    have = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rel"), F.col("l_linenumber").cast("bigint").alias("blk"))
-    per = have.groupBy("rel").agg(F.max("blk").alias("m"), F.collect_set("blk").alias("b"))
-    return per.select("rel", F.explode(F.array_except(F.sequence(F.lit(1).cast("bigint"), "m"), "b")).alias("blk"))
+    have = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rel"), F.col("l_linenumber").cast("bigint").alias("blk")).distinct()
+    after = have.withColumn("before", F.coalesce(F.lag("blk").over(Window.partitionBy("rel").orderBy("blk")), F.lit(0)))
+    return after.where("blk > before + 1").select("rel", F.explode(F.sequence(F.col("before") + 1, F.col("blk") - 1)).alias("blk"))
+
 
+_SHARDS = "WITH x AS (SELECT o_orderkey AS rel, o_custkey * 100 AS blk FROM orders), m AS (SELECT rel, blk, rel AS a0, blk // 2048 AS b0 FROM x), s1 AS (SELECT *, xor(a0, a0 >> 16) AS a1, xor(b0, b0 >> 16) AS b1 FROM m), s2 AS (SELECT *, CAST((CAST(a1 AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS a2, CAST((CAST(b1 AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS b2 FROM s1), s3 AS (SELECT *, xor(a2, a2 >> 13) AS a3, xor(b2, b2 >> 13) AS b3 FROM s2), s4 AS (SELECT *, CAST((CAST(a3 AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT) AS a4, CAST((CAST(b3 AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT) AS b4 FROM s3), s5 AS (SELECT *, xor(a4, a4 >> 16) AS a5, xor(b4, b4 >> 16) AS b5 FROM s4)"
+_SHARD = "xor(a5, (b5 + 2654435769 + a5 * 64 + (a5 >> 2)) % 4294967296)"
 
-@case("F24_shard_routing", "WITH x AS (SELECT o_orderkey AS rel, o_custkey * 100 AS blk FROM orders), m AS (SELECT rel, blk, rel AS a0, blk // 2048 AS b0 FROM x), s1 AS (SELECT *, xor(a0, a0 >> 16) AS a1, xor(b0, b0 >> 16) AS b1 FROM m), s2 AS (SELECT *, CAST((CAST(a1 AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS a2, CAST((CAST(b1 AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS b2 FROM s1), s3 AS (SELECT *, xor(a2, a2 >> 13) AS a3, xor(b2, b2 >> 13) AS b3 FROM s2), s4 AS (SELECT *, CAST((CAST(a3 AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT) AS a4, CAST((CAST(b3 AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT) AS b4 FROM s3), s5 AS (SELECT *, xor(a4, a4 >> 16) AS a5, xor(b4, b4 >> 16) AS b5 FROM s4) SELECT rel, blk, xor(a5, (b5 + 2654435769 + a5 * 64 + (a5 >> 2)) % 4294967296) % 8 AS shard FROM s5")
+
+@case("F24_shard_routing", f"{_SHARDS} SELECT rel, blk, {_SHARD} % 8 AS shard FROM s5")
 def f24(spark, sf):
     x = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rel"), (F.col("o_custkey") * 100).alias("blk"))
     return x.select("rel", "blk", fn.shard_of(F.col("rel"), F.col("blk"), 8).alias("shard"))
 
 
-@case("F26_local_keys", None)
+@case("F26_local_keys", f"{_SHARDS} SELECT count(*) AS n FROM s5 WHERE {_SHARD} % 8 = 3")
 def f26(spark, sf):
     return f24(spark, sf).where("shard = 3").groupBy().agg(F.count("*").alias("n"))
 
@@ -389,18 +482,19 @@ def f30(spark, sf):
 
 @case("W12_layer_visibility", f"WITH {_L}, {_KEYS}, p AS (SELECT * FROM (VALUES (220), (350), (600)) t(point)) SELECT DISTINCT a.id FROM l a, p WHERE a.ls <= point AND EXISTS (SELECT 1 FROM k WHERE key >= a.s AND key < a.e AND NOT EXISTS (SELECT 1 FROM l i WHERE i.kind = 'image' AND i.id <> a.id AND i.ls >= a.le AND i.ls <= point AND key >= i.s AND key < i.e))")
 def w12(spark, sf):
-    return layers.visible(layer_map(spark), spark.createDataFrame([(220,), (350,), (600,)], "lsn long"))
+    return layers.visible(layer_map(spark, sf), spark.createDataFrame([(220,), (350,), (600,)], "lsn long"))
 
 
-@case("F14_identify_level", "WITH l AS (SELECT id, id // 6 * 100 + (id * 7) % 40 AS a, id // 6 * 100 + (id * 7) % 40 + 60 AS b FROM range(40) t(id)), x AS (SELECT * FROM l WHERE b <= 700), c AS (SELECT max(p) AS cut FROM (SELECT b AS p FROM x) WHERE p < (SELECT max(b) FROM x) AND NOT EXISTS (SELECT 1 FROM x WHERE a < p AND b > p) AND NOT EXISTS (SELECT 1 FROM x WHERE a = p)) SELECT id FROM x, c WHERE cut IS NULL OR a >= cut")
+@case("F14_identify_level", "WITH l AS (SELECT o_orderkey AS id, o_orderkey // 6 * 100 + (o_orderkey * 7) % 40 AS a, o_orderkey // 6 * 100 + (o_orderkey * 7) % 40 + 60 AS b FROM orders), x AS (SELECT * FROM l WHERE b <= 20000), c AS (SELECT max(p) AS cut FROM (SELECT b AS p FROM x) WHERE p < (SELECT max(b) FROM x) AND NOT EXISTS (SELECT 1 FROM x WHERE a < p AND b > p) AND NOT EXISTS (SELECT 1 FROM x WHERE a = p)) SELECT id FROM x, c WHERE cut IS NULL OR a >= cut")
 def f14(spark, sf):
-    low = F.floor(F.col("id") / 6) * 100 + (F.col("id") * 7) % 40
-    return layers.identify_level(spark.range(40).select("id", low.alias("lsn_start"), (low + 60).alias("lsn_end")), 700)
+    i = F.col("o_orderkey")
+    low = F.floor(i / 6) * 100 + (i * 7) % 40
+    return layers.identify_level(table(spark, sf, "orders").select(i.alias("id"), low.alias("lsn_start"), (low + 60).alias("lsn_end")), 20000)
 
 
 @case("F15_gc_jobs", f"WITH {_L}, j AS (SELECT *, coalesce(sum(size) OVER (ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000 AS job FROM l) SELECT CAST(job AS BIGINT) AS job, min(s) AS start, max(e) AS \"end\", CAST(sum(size) AS BIGINT) AS bytes FROM j GROUP BY job")
 def f15(spark, sf):
-    return layers.gc_jobs(layer_map(spark), 50000)
+    return layers.gc_jobs(layer_map(spark, sf), 50000)
 
 
 # --- telemetry -----------------------------------------------------------------------------------
@@ -452,15 +546,40 @@ def _segments(spark, sf):
     return o.select(F.col("o_custkey").alias("tenant"), n.cast("bigint").alias("id"), F.when(n > 1, F.floor(n / 2)).cast("bigint").alias("parent"), (n * 700).cast("bigint").alias("lsn"), F.when(n % 3 != 2, (F.col("o_totalprice") % 3000 + 500).cast("bigint")).alias("size"), ((n % 2 == 0) | (n == 1)).alias("needed"))
 
 
-@case("A20_tree_size")
+def _tree_sql(levels: int = 12) -> str:
+    """The cost of each node from the deepest level up: children's costs first."""
+    parts = ["s0 AS (SELECT o_custkey AS tenant, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS id, o_totalprice FROM orders)"]
+    parts.append("s AS (SELECT tenant, id, CASE WHEN id > 1 THEN id // 2 END AS parent, id * 700 AS lsn, CASE WHEN id % 3 <> 2 THEN CAST(CAST(floor(o_totalprice % 3000 + 500) AS BIGINT) AS DOUBLE) ELSE 'inf'::DOUBLE END AS size, id % 2 = 0 OR id = 1 AS needed, CAST(floor(log2(id)) AS INT) AS depth FROM s0)")
+    parts.append(f"c{levels} AS (SELECT tenant, id, parent, 0.0::DOUBLE AS kept, 0.0::DOUBLE AS bare FROM s WHERE false)")
+    for d in range(levels - 1, -1, -1):
+        parts.append(f"k{d} AS (SELECT tenant, parent AS id, sum(kept) AS kept, sum(bare) AS bare FROM c{d + 1} GROUP BY 1, 2)")
+        parts.append(f"o{d} AS (SELECT s.*, size + coalesce(k.kept, 0) AS snapshot, CASE WHEN parent IS NULL THEN 'inf'::DOUBLE ELSE lsn - parent * 700 + coalesce(k.kept, 0) END AS log, CASE WHEN needed THEN 'inf'::DOUBLE ELSE coalesce(k.bare, 0) END AS skip FROM s LEFT JOIN k{d} k USING (tenant, id) WHERE depth = {d})")
+        parts.append(f"c{d} AS (SELECT tenant, id, parent, least(snapshot, log, skip) AS kept, least(snapshot, skip) AS bare FROM o{d})")
+    return "WITH " + ",\n".join(parts) + "\nSELECT tenant, CAST(bare AS BIGINT) AS size FROM c0"
+
+
+@case("A20_tree_size", _tree_sql())
 def a20(spark, sf):
     return telemetry.tree_size(_segments(spark, sf))
 
 
-@case("A21_size_inputs", "SELECT user_id AS tenant, event_id AS lsn, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS parent_lsn, event_type IN ('signup', 'purchase') AS needed FROM events WHERE event_type IN ('signup', 'purchase', 'click')")
+#: Timelines are customers; every fifth order is a branch point, every seventh a lease, and the cutoff and the end depend on the customer.
+_SEGMENTS = """WITH t AS (SELECT c_custkey AS timeline, c_custkey % 50 AS start, CAST(3000 + c_custkey % 9000 AS BIGINT) AS cutoff, 20000 + c_custkey AS last FROM customer),
+p AS (SELECT DISTINCT o_custkey AS timeline, o_orderkey AS lsn, 1 AS k, 'branch_point' AS kind FROM orders WHERE o_orderkey % 5 = 0 UNION SELECT o_custkey, o_orderkey, 3, 'lease_point' FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT timeline, cutoff, 2, 'gc_cutoff' FROM t WHERE cutoff > start),
+q AS (SELECT t.timeline, start AS lsn, 0 AS k, 0 AS j, 'branch_start' AS kind, cutoff <= start AS needed FROM t
+UNION ALL SELECT timeline, lsn, k, 0, kind, lsn > cutoff FROM p JOIN t USING (timeline) WHERE lsn > start OR kind = 'gc_cutoff'
+UNION ALL SELECT timeline, lsn, k, 1, 'lease_start', lsn > cutoff FROM p JOIN t USING (timeline) WHERE kind = 'lease_point' AND lsn > start
+UNION ALL SELECT timeline, lsn, k, 2, 'lease_end', true FROM p JOIN t USING (timeline) WHERE kind = 'lease_point' AND lsn > start
+UNION ALL SELECT timeline, last, 9, 0, 'branch_end', true FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY timeline ORDER BY CASE k WHEN 0 THEN 0 WHEN 9 THEN 2 ELSE 1 END, lsn, k, j) AS id FROM q)
+SELECT timeline, id, lsn, kind, needed, CASE WHEN kind = 'branch_start' THEN NULL WHEN j > 0 THEN id - 1 ELSE (SELECT max(m.id) FROM n m WHERE m.timeline = n.timeline AND m.id < n.id AND m.j = 0) END AS parent FROM n"""
+
+
+@case("A21_size_inputs", _SEGMENTS)
 def a21(spark, sf):
-    e = table(spark, sf, "events").where(F.col("event_type").isin("signup", "purchase", "click"))
-    return e.select(F.col("user_id").alias("tenant"), F.col("event_id").alias("lsn"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent_lsn"), F.col("event_type").isin("signup", "purchase").alias("needed"))
+    c, o = F.col("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("timeline"), F.col("o_orderkey").alias("lsn"))
+    timelines = table(spark, sf, "customer").select(c.alias("timeline"), (c % 50).alias("start"), (c % 9000 + 3000).alias("cutoff"), (c + 20000).alias("last"))
+    return telemetry.size_inputs(timelines, o.where("lsn % 5 = 0"), o.where("lsn % 7 = 0"))
 
 
 @case("A23_store_summary", "SELECT source AS shard, count(*) AS n, count(*) FILTER (WHERE length(text) < 200) AS warnings, CAST(sum(length(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
@@ -475,7 +594,7 @@ def a24(spark, sf):
 
 @case("A25_write_amplification", f"WITH {_L} SELECT round(CAST(sum(size) AS DOUBLE) / sum(size) FILTER (WHERE kind = 'delta'), 6) AS amplification FROM l")
 def a25(spark, sf):
-    return layer_map(spark).agg(F.round(F.sum("size").cast("double") / F.sum(F.when(F.col("kind") == "delta", F.col("size"))), 6).alias("amplification"))
+    return layer_map(spark, sf).agg(F.round(F.sum("size").cast("double") / F.sum(F.when(F.col("kind") == "delta", F.col("size"))), 6).alias("amplification"))
 
 
 @case("A26_traffic_counters", "SELECT user_id, event_id // 1000 AS tick, round(sum(value), 4) AS traffic FROM events GROUP BY 1, 2")
@@ -609,32 +728,47 @@ def t12(spark, sf):
     return log.feedback(table(spark, sf, "events").where("event_type = 'click'").select(F.col("event_id").alias("xmin"), "ts"))
 
 
-@case("T13_common_point", "SELECT CAST(300 AS BIGINT) AS lsn")
+#: Terms of 50 events; the other log lacks the term after the half and starts the later ones elsewhere.
+_TERMS = "a AS (SELECT event_id // 50 AS term, min(event_id) AS start FROM events GROUP BY 1), m AS (SELECT max(term) // 2 AS half FROM a), b AS (SELECT term, start + CASE WHEN term > half THEN 7 ELSE 0 END AS start FROM a, m WHERE term <> half + 1)"
+
+
+@case("T13_common_point", f"WITH {_TERMS}, ea AS (SELECT *, lead(start) OVER (ORDER BY term) AS stop FROM a), eb AS (SELECT *, lead(start) OVER (ORDER BY term) AS stop FROM b) SELECT least(ea.stop, eb.stop) AS lsn FROM ea JOIN eb USING (term, start) ORDER BY term DESC LIMIT 1")
 def t13(spark, sf):
-    rows = lambda v: spark.sql(f"SELECT CAST(term AS BIGINT) AS term, CAST(start AS BIGINT) AS start FROM VALUES {v} AS t(term, start)")
-    return log.common_point(rows("(1, 0), (2, 100), (3, 200), (4, 300)"), rows("(1, 0), (2, 100), (3, 200), (5, 350)"))
+    a = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 50).alias("term")).agg(F.min("event_id").alias("start"))
+    half = F.broadcast(a.agg(F.floor(F.max("term") / 2).alias("half")))
+    b = a.join(half).where("term <> half + 1").select("term", (F.col("start") + F.when(F.col("term") > F.col("half"), 7).otherwise(0)).alias("start"))
+    return log.common_point(a, b)
+
+
+_ASKED = "r AS (SELECT event_id AS id, CASE WHEN event_id % 50 = 7 THEN 0 ELSE event_id * 3 END AS lsn, CASE WHEN event_id % 50 = 7 THEN 0 WHEN event_id % 11 = 0 THEN event_id * 3 + 5 ELSE event_id * 3 - user_id % 100 END AS since, event_type = 'click' AS leased FROM events)"
+_READ_AT = f"""WITH {_ASKED}, bad AS (SELECT id FROM r WHERE since > lsn UNION SELECT id FROM r WHERE lsn = 0),
+old AS (SELECT id FROM r WHERE lsn < 5000 AND NOT leased AND id NOT IN (SELECT id FROM bad)), fine AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM bad) AND id NOT IN (SELECT id FROM old))
+SELECT id, CAST(NULL AS BIGINT) AS lsn, 'bad_request' AS status FROM bad UNION ALL SELECT id, NULL, 'too_old' FROM old
+UNION ALL SELECT id, since, 'wait' FROM fine WHERE since > 20000 UNION ALL SELECT id, CASE WHEN lsn > 20000 THEN 20000 ELSE lsn END, 'ok' FROM fine WHERE since <= 20000"""
 
 
-@case("T07_effective_lsn", "SELECT event_id AS id, CASE WHEN event_id * 3 > 20000 THEN event_id * 3 ELSE least(event_id * 2, 20000) END AS lsn, CASE WHEN event_id * 3 > 20000 THEN 'wait' WHEN event_id * 2 < 5000 AND NOT (event_type = 'click') THEN 'too_old' ELSE 'ok' END AS status FROM events")
+@case("T07_effective_lsn", _READ_AT)
 def t07(spark, sf):
-    e = table(spark, sf, "events")
-    r = e.select(F.col("event_id").alias("id"), (F.col("event_id") * 2).alias("lsn"), (F.col("event_id") * 3).alias("not_modified_since"), (F.col("event_type") == "click").alias("leased"))
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    zero, asked = k % 50 == 7, k * 3
+    since = F.when(zero, 0).when(k % 11 == 0, asked + 5).otherwise(asked - F.col("user_id") % 100)
+    r = e.select(k.alias("id"), F.when(zero, 0).otherwise(asked).alias("lsn"), since.alias("not_modified_since"), (F.col("event_type") == "click").alias("leased"))
     return log.effective_lsn(r, 20000, 5000)
 
 
-@case("T08_request_batches", None)
+@case("T08_request_batches", "WITH e AS (SELECT user_id % 20 AS session, event_id AS seq, event_type FROM events), i AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) - row_number() OVER (PARTITION BY session, event_type ORDER BY seq) AS island FROM e), r AS (SELECT *, min(seq) OVER (PARTITION BY session, event_type, island) AS run, row_number() OVER (PARTITION BY session, event_type, island ORDER BY seq) - 1 AS place FROM i) SELECT session, seq, event_type, CAST(dense_rank() OVER (PARTITION BY session ORDER BY run, place // 4) AS INT) AS batch FROM r")
 def t08(spark, sf):
     e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("session"), F.col("event_id").alias("seq"), "event_type")
     return log.batches(e, ["event_type"], 4)
 
 
-@case("T02_shard_fan_out", None)
+@case("T02_shard_fan_out", f"{_SHARDS} SELECT {_SHARD} % 4 AS shard, count(*) AS n FROM s5 GROUP BY 1")
 def t02(spark, sf):
     r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rel"), (F.col("o_custkey") * 100).alias("block"), F.col("o_orderkey").alias("next_lsn"))
     return log.fan_out(r, 4).groupBy("shard").agg(F.count("*").alias("n"))
 
 
-@case("T03_subscriber_resume", None)
+@case("T03_subscriber_resume", f"{_SHARDS} SELECT {_SHARD} % 4 AS shard, count(*) AS n FROM s5 WHERE rel > {_SHARD} % 4 * 1000 GROUP BY 1")
 def t03(spark, sf):
     r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rel"), (F.col("o_custkey") * 100).alias("block"), F.col("o_orderkey").alias("next_lsn"))
     positions = spark.range(4).select(F.col("id").alias("shard"), (F.col("id") * 1000).alias("position"))
@@ -679,15 +813,15 @@ def fn_size(spark, sf):
     return t.select("text", fn.size_bytes(F.col("text")).cast("int").alias("bytes"))
 
 
-@case("K06_json_rows", "SELECT '{\"k\":\"' || o_orderkey || '\",\"s\":\"' || o_orderstatus || '\",\"p\":null}' AS row FROM orders WHERE o_orderkey < 500")
+@case("K06_json_rows", "SELECT '{\"k\":\"' || o_orderkey || '\",\"s\":\"' || o_orderstatus || '\",\"p\":null}' AS row FROM orders")
 def k06(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey < 500")
+    o = table(spark, sf, "orders")
     return o.select(fn.json_row(k=F.col("o_orderkey").cast("string"), s=F.col("o_orderstatus"), p=F.lit(None).cast("string")).alias("row"))
 
 
-@case("FN_text_chunks", "SELECT doc_id, CAST(i AS INT) AS i, substring(text, CAST(i * 150 + 1 AS BIGINT), 200) AS chunk FROM documents, range(0, 1000) t(i) WHERE length(text) > 0 AND doc_id < 60 AND i < greatest(ceil((length(text) - 50) / 150.0), 1)")
+@case("FN_text_chunks", "SELECT doc_id, CAST(i AS INT) AS i, substring(text, i * 150 + 1, 200) AS chunk FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 50) / 150.0), 1) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)")
 def fn_chunks(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 60")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(fn.text_chunks(F.col("text"), 200, 50)).alias("i", "chunk"))
 
 
@@ -724,9 +858,9 @@ def s22(spark, sf):
     return table(spark, sf, "orders").where("o_orderkey between 100 and 300").select("o_orderkey", "o_custkey")
 
 
-@case("S24_unnest_lateral", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents WHERE doc_id < 40) GROUP BY doc_id, w")
+@case("S24_unnest_lateral", "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY doc_id, w")
 def s24(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 40")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.explode(F.split("text", " ")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
 
 

@@ -38,3 +38,23 @@ def metering_sink(path: str, per_request: int = 1000) -> Callable[[DataFrame, in
         batch.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", per_request).json(f"{path}/batch={batch_id}")
 
     return write
+
+
+def copy_out(rows: DataFrame, path: str, files: int) -> None:
+    """Bulk export as CSV in ``files`` parts written side by side; nulls are bare, empty strings quoted."""
+    rows.repartition(files).write.option("quoteAll", True).option("nullValue", "\\N").option("escape", '"').option("emptyValue", "").option("compression", "gzip").csv(path)
+
+
+def copy_in(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What :func:`copy_out` wrote, one task a part; values may hold line ends."""
+    return spark.read.schema(schema).option("nullValue", "\\N").option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(path)
+
+
+def import_plan(relations: DataFrame, most: int, shards: int) -> DataFrame:
+    """``rel, first, blocks, shard``: jobs of at most ``most`` blocks for an import of relations (rel, blocks), dealt to shards; a relation without blocks is one job.
+
+    The jobs are rows, so Spark reads and writes them side by side.
+    """
+    firsts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("blocks") - 1, F.lit(0)), F.lit(most).cast("bigint"))
+    jobs = relations.select("rel", "blocks", F.explode(firsts).alias("first"))
+    return jobs.select("rel", "first", F.least(F.lit(most), F.col("blocks") - F.col("first")).alias("blocks"), F.pmod(F.xxhash64("rel", "first"), F.lit(shards)).alias("shard"))

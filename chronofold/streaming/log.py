@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.scalar import shard_of
+from chronofold.operators.ordered import with_following
 
 
 def fan_out(records: DataFrame, shards: int, positions: DataFrame | None = None) -> DataFrame:
@@ -43,18 +45,23 @@ def feedback(replies: DataFrame) -> DataFrame:
 
 def common_point(a: DataFrame, b: DataFrame) -> DataFrame:
     """For term histories (term, start): ``lsn``, where two logs still agree: the least end of the last shared term."""
-    w = Window.orderBy("term")
-    side = lambda d, p: d.select("term", F.col("start").alias(f"{p}_start"), F.lead("start").over(w).alias(f"{p}_end"))
+    side = lambda d, p: with_following(d.select("term", "start"), "term", "start", "_end").select("term", F.col("start").alias(f"{p}_start"), F.col("_end").alias(f"{p}_end"))
     both = side(a, "a").join(side(b, "b"), "term").where("a_start = b_start")
     last = both.agg(F.max_by(F.struct("a_end", "b_end"), "term").alias("e"))
     return last.select(F.least("e.a_end", "e.b_end").alias("lsn"))
 
 
-def effective_lsn(requests: DataFrame, last: int, cutoff: int) -> DataFrame:
-    """Requests (id, lsn, not_modified_since, leased): the position to read at, and ``ok``, ``wait`` or ``too_old``."""
+def effective_lsn(requests: DataFrame, last: int, cutoff: int, grace: bool = False) -> DataFrame:
+    """Requests (id, lsn, not_modified_since, leased): ``id, lsn, status``, the position to read at (null for a refused one).
+
+    Checked in this order: ``bad_request`` for a position below not_modified_since, or of 0; ``too_old`` below the cutoff without a lease, unless
+    leases are still in their grace period; ``wait`` (until not_modified_since) where that is above the last position; else ``ok``.
+    """
     since, asked = F.col("not_modified_since"), F.col("lsn")
-    status = F.when(since > last, "wait").when((asked < cutoff) & ~F.col("leased"), "too_old").otherwise("ok")
-    return requests.select("id", F.when(since > last, since).otherwise(F.least(asked, F.lit(last))).alias("lsn"), status.alias("status"))
+    old = (asked < cutoff) & ~F.col("leased") & F.lit(not grace)
+    status = F.when((asked < since) | (asked == 0), "bad_request").when(old, "too_old").when(since > last, "wait").otherwise("ok")
+    at = F.when(status == "wait", since).when(status == "ok", F.least(asked, F.lit(last)))
+    return requests.select("id", at.cast("bigint").alias("lsn"), status.alias("status"))
 
 
 def batches(requests: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -152,3 +159,31 @@ def reached(path_rows: DataFrame, lsn: int) -> bool:
     """Whether stored rows have reached a position: the test of a read-your-writes barrier."""
     top = path_rows.agg(F.max("lsn")).first()[0]
     return top is not None and top >= lsn
+
+
+def wait_until(progress: Callable[[], DataFrame], lsn: int, timeout: float = 300.0, every: float = 0.2) -> bool:
+    """Wait until the rows that ``progress`` gives have reached a position: true, or false after ``timeout`` seconds. It is read once at least."""
+    end = time.monotonic() + timeout
+    while not reached(progress(), lsn):
+        if time.monotonic() >= end:
+            return False
+        time.sleep(min(every, max(0.0, end - time.monotonic())))
+    return True
+
+
+def metered(samples: DataFrame, tick: str, late: str) -> DataFrame:
+    """Incremental metering on a stream of absolute samples (tenant, ts, value): ``tenant, start, low, high`` of each tick.
+
+    A tick's use is its high less the high of the ticks before; :func:`chronofold.operators.telemetry.metered_deltas` over the closed ticks gives it, and
+    a value that falls back adds nothing. A tick closes when the watermark, ``late`` behind the newest sample, has passed it.
+    """
+    timed = samples.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("tenant", F.window("ts", tick)).agg(F.min("value").alias("low"), F.max("value").alias("high")).select("tenant", F.col("window.start").alias("start"), "low", "high")
+
+
+def sliding_counts(events: DataFrame, item: str, length: str, slide: str, late: str | None = None) -> DataFrame:
+    """``start, n``: approximate distinct items of each sliding window; on a stream with a watermark of ``late``."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if late is not None:
+        timed = timed.withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", length, slide)).agg(F.approx_count_distinct(item, 0.02).alias("n")).select(F.col("window.start").alias("start"), "n")

@@ -40,8 +40,10 @@ def test_retention_example(spark):
 def test_lsn_for_timestamp_verdicts(spark):
     c = spark.createDataFrame([(16, 10), (40, 20), (80, 30)], "lsn long, ts long")
     ask = lambda t: tuple(versioned.lsn_for_timestamp(c, F.lit(t)).first())
-    assert ask(20) == (32, "present") and ask(5) == (8, "past") and ask(99) == (80, "future")
-    assert versioned.lsn_for_timestamp(c.limit(0), F.lit(1)).first()["verdict"] == "nodata"
+    assert ask(20) == (32, "present") and ask(21) == (72, "present") and ask(5) == (0, "past") and ask(99) == (80, "future")
+    low = lambda t, least: tuple(versioned.lsn_for_timestamp(c, F.lit(t), least).first())
+    assert low(20, 40) == (40, "past") and low(21, 40) == (72, "present") and low(5, 24) == (24, "past") and low(99, 96) == (96, "past")
+    assert tuple(versioned.lsn_for_timestamp(c.limit(0), F.lit(1), 24).first()) == (24, "nodata")
 
 
 def test_range_sets_against_keys(spark):
@@ -54,13 +56,13 @@ def test_range_sets_against_keys(spark):
         assert keys(keyspace.union(da, db)) == ka | kb
         assert keys(keyspace.intersect(da, db)) == ka & kb
         assert keys(keyspace.difference(da, db)) == ka - kb
-        pairs = {(r.a_start, r.a_end, r.b_start, r.b_end) for r in keyspace.overlap_join(da, db, 5).collect()}
+        pairs = {(r.a_start, r.a_end, r.b_start, r.b_end) for r in keyspace.overlap_join(da, db).collect()}
         assert pairs == {(*x, *y) for x in a for y in b if max(x[0], y[0]) < min(x[1], y[1])}
 
 
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "start long, end long")
-    assert keyspace.union(none, none).count() == keyspace.intersect(none, none).count() == keyspace.overlap_join(none, none, 10).count() == 0
+    assert keyspace.union(none, none).count() == keyspace.intersect(none, none).count() == keyspace.overlap_join(none, none).count() == 0
 
 
 def test_tree_size_examples(spark):
@@ -232,6 +234,172 @@ def test_record_fold_query_reads_all_events(spark, sf_dir):
     assert {r.key: r.value for r in registry.queries()["F03_test_record_fold"](spark, sf_dir).collect()} == values
 
 
+def test_gc_cutoffs_case_by_case(spark):
+    rows = [
+        (1, 70, 50, True, 900, 20, (70, 70, 70)),  # a known time rules alone
+        (2, 30, 50, True, 900, 20, (30, 30, 30)),
+        (3, None, 50, True, 900, 20, (20, 50, 20)),  # an unknown one is no further than what was applied
+        (4, 70, 50, False, 900, 20, (900, 70, 70)),  # no time-based retention: whichever keeps less
+        (5, 30, 50, False, 900, 20, (900, 50, 50)),
+        (6, None, 50, False, 900, 20, (900, 50, 50)),
+    ]
+    d = spark.createDataFrame([r[:6] for r in rows], "id long, time_cutoff long, space_cutoff long, pitr_on boolean, last_lsn long, applied_cutoff long")
+    assert {r.id: (r.time, r.space, r.cutoff) for r in layers.gc_cutoffs(d).collect()} == {r[0]: r[6] for r in rows}
+
+
+def test_effective_lsn_case_by_case(spark):
+    rows = [
+        (1, 90, 95, True, (None, "bad_request")),  # asked below not_modified_since
+        (2, 0, 0, True, (None, "bad_request")),
+        (3, 40, 30, False, (None, "too_old")),
+        (4, 40, 30, True, (40, "ok")),  # a lease holds it
+        (5, 300, 200, False, (200, "wait")),
+        (6, 300, 80, False, (100, "ok")),  # nothing newer changed it: the last position will do
+        (7, 70, 60, False, (70, "ok")),
+        (8, 40, 200, False, (None, "bad_request")),
+        (9, 100, 100, False, (100, "ok")),
+    ]
+    d = spark.createDataFrame([r[:4] for r in rows], "id long, lsn long, not_modified_since long, leased boolean")
+    assert {r.id: (r.lsn, r.status) for r in log.effective_lsn(d, 100, 50).collect()} == {r[0]: r[4] for r in rows}
+    assert log.effective_lsn(d, 100, 50, grace=True).where("id = 3").first()["status"] == "ok"
+
+
+LAYER = "id long, kind string, start long, end long, lsn_start long, lsn_end long, size long, l0 boolean"
+
+
+@pytest.mark.parametrize(
+    "rows, disk, want",
+    [
+        ([], 500, 499),  # nothing: all up to the disk's position
+        ([("image", 0, 100, 200, 201, False)], 500, 499),
+        ([("image", 0, 100, 200, 201, False), ("delta", 10, 20, 300, 310, False)], 500, 299),  # one delta after the image
+        ([("image", 0, 100, 200, 201, False), ("delta", 10, 20, 150, 310, False)], 500, 201),  # a delta straddles the image: the image's own end
+        ([("image", 0, 100, 200, 201, False), ("image", 0, 100, 280, 281, False), ("delta", 10, 20, 210, 270, False)], 500, 499),  # superseded by the newer image
+        ([("image", 0, 100, 200, 201, False), ("delta", 0, 1000, 320, 330, True)], 500, 319),  # level 0 bounds all
+        ([("delta", 10, 20, 150, 160, False)], 500, 149),  # no image at all
+        ([("image", 0, 50, 200, 201, False), ("delta", 50, 60, 150, 160, False)], 500, 149),  # a delta beside the image, where there is none
+        ([("image", 0, 50, 100, 101, False), ("image", 50, 90, 400, 401, False), ("delta", 50, 60, 150, 160, False)], 500, 149),  # it counts where it begins, too
+        ([("image", 0, 100, 600, 601, False), ("delta", 0, 100, 550, 560, False)], 500, 499),  # above the disk's position
+    ],
+)
+def test_consistent_lsn_case_by_case(spark, rows, disk, want):
+    d = spark.createDataFrame([(i, *r[:5], 1, r[5]) for i, r in enumerate(rows)], LAYER)
+    assert [r.lsn for r in layers.consistent_lsn(d, disk).collect()] == [want]
+
+
+def test_leases_case_by_case(spark):
+    asked = spark.createDataFrame([(1, 50, 10, True), (2, 150, 10, True), (3, 150, 10, False), (4, 300, 10, True), (5, 80, 99, False), (6, 80, 5, True), (7, 300, 20, False)], "id long, lsn long, valid_until long, initial boolean")
+    held = spark.createDataFrame([(80, 40)], "lsn long, valid_until long")
+    got = lambda grace: {r.id: (r.valid_until, r.status) for r in layers.grant_leases(asked, held, 100, 200, grace).collect()}
+    want = {1: (None, "refused"), 2: (None, "refused"), 3: (None, "refused"), 4: (20, "granted"), 5: (99, "renewed"), 6: (99, "renewed"), 7: (20, "granted")}
+    assert got(False) == want
+    assert got(True) == want | {3: (10, "granted")}
+
+
+def test_wide_and_narrow_ranges_meet(spark):
+    rng = random.Random(5)
+    draw = lambda: (s := rng.randint(-(10**12), 10**12), s + rng.choice([1, 2, 1000, 10**9, 10**12]))
+    a, b = [draw() for _ in range(60)], [draw() for _ in range(60)]
+    da, db = (spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "id long, start long, end long") for x in (a, b))
+    got = [(r.a_id, r.b_id) for r in keyspace.overlap_join(da, db).collect()]
+    assert sorted(got) == sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[0] < y[1] and y[0] < x[1])
+
+
+def test_reads_of_a_hot_key(spark):
+    rng = random.Random(2)
+    rows = [(1 if rng.random() < 0.9 else rng.randint(2, 5), x, rng.random() < 0.1, f"p{x}") for x in range(3000)]
+    asked = [(rng.randint(0, 6), rng.randint(-5, 3100)) for _ in range(300)]
+    h, r = spark.createDataFrame(rows, "key long, lsn long, will_init boolean, payload string"), spark.createDataFrame(asked, "key long, at long").distinct()
+    want = set()
+    for k, t in set(asked):
+        mine = [x for x in rows if x[0] == k and x[1] <= t]
+        base = max((x[1] for x in mine if x[2]), default=-1)
+        want |= {(k, t, x[1]) for x in mine if x[1] >= base}
+    assert {(x.key, x.at, x.lsn) for x in versioned.visited(r, h).collect()} == want
+    newest = {(k, t): max((x[1] for x in rows if x[0] == k and x[1] <= t), default=None) for k, t in set(asked)}
+    assert {(x.key, x.at): x.found_lsn for x in versioned.as_of_join(r, h, "key", "at", "lsn", ["lsn"]).collect()} == newest
+
+
+def test_order_helpers_on_skewed_keys(spark):
+    from chronofold.operators import ordered
+
+    rng = random.Random(7)
+    keys = sorted({rng.randint(0, 50) if rng.random() < 0.9 else rng.randint(0, 10**12) for _ in range(3000)})
+    d = spark.createDataFrame([(k, k % 7) for k in keys], "key long, v long").repartition(5)
+    assert {r.key: r.next for r in ordered.with_next(d, "key").collect()} == dict(zip(keys, keys[1:] + [None]))
+    sums, total = {}, 0
+    for k in keys:
+        total += k % 7
+        sums[k] = total
+    assert {r.key: r.upto for r in ordered.with_running(d, "key", {"v": "upto"}).collect()} == sums
+    assert sorted(r.n for r in ordered.numbered(d, "n").collect()) == list(range(1, len(keys) + 1))
+
+
+def test_wait_ends_by_progress_or_time(spark):
+    rows = spark.range(5).select(F.col("id").alias("lsn"))
+    assert log.wait_until(lambda: rows, 4, timeout=0) and not log.wait_until(lambda: rows, 5, timeout=0.3, every=0.1)
+    calls = []
+
+    def growing():
+        calls.append(1)
+        return spark.range(len(calls)).select(F.col("id").alias("lsn"))
+
+    assert log.wait_until(growing, 2, timeout=30, every=0.01) and len(calls) == 3
+
+
+def test_metering_between_ticks_on_a_stream(spark, tmp_path):
+    rows = [(t, f"2024-01-01 00:{m:02d}:00", 10 * m + t) for t in (1, 2) for m in range(0, 50, 2)]
+    path = str(tmp_path / "m")
+    spark.createDataFrame(rows, "tenant long, ts string, value long").write.parquet(path)
+    stream = spark.readStream.schema("tenant long, ts string, value long").parquet(path)
+    q = log.metered(stream, "10 minutes", "1 minute").writeStream.format("memory").queryName("metered").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    ticks = spark.table("metered").withColumn("at", F.unix_timestamp("start"))
+    assert ticks.groupBy("tenant").count().collect() and ticks.count() == 8  # the last tick is still open
+    deltas = telemetry.metered_deltas(ticks, "tenant", "at", "high")
+    assert {r.delta for r in deltas.collect()} == {100} and deltas.count() == 6
+
+
+def test_sliding_counts(spark):
+    e = spark.createDataFrame([(u, f"2024-01-01 00:{m:02d}:30") for u, m in ((1, 1), (2, 3), (2, 9), (3, 14))], "u long, ts string")
+    got = {str(r.start)[11:16]: r.n for r in log.sliding_counts(e, "u", "10 minutes", "5 minutes").collect()}
+    assert got == {"23:55": 2, "00:00": 2, "00:05": 2, "00:10": 1}
+
+
+def test_request_log_is_written(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(250).select("id", F.lit("GET").alias("method")).repartition(1).write.parquet(source)
+    stream = spark.readStream.schema("id long, method string").parquet(source)
+    q = log.request_log(stream, str(tmp_path / "out"), str(tmp_path / "c"), "1 second", 100)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 250 and len(set(out.inputFiles())) == 3
+
+
+def test_bulk_copies_in_parallel(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit('a "b",\n'), F.col("id").cast("string"))).alias("text"), (F.col("id") / 4).alias("x"))
+    changes.copy_out(rows, str(tmp_path / "out"), 8)
+    assert len([f for f in (tmp_path / "out").iterdir() if f.name.startswith("part-")]) == 8
+    back = changes.copy_in(spark, str(tmp_path / "out"), "id long, text string, x double")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_import_plan(spark):
+    rels = spark.createDataFrame([(1, 10), (2, 250), (3, 0), (4, 95)], "rel long, blocks long")
+    jobs = changes.import_plan(rels, 100, 4).collect()
+    assert all(r.blocks <= 100 for r in jobs)
+    for rel, blocks in ((1, 10), (2, 250), (3, 0), (4, 95)):
+        mine = sorted((r.first, r.blocks) for r in jobs if r.rel == rel)
+        assert sum(n for _, n in mine) == blocks and [f for f, _ in mine] == [100 * k for k in range(len(mine))]
+    assert {r.shard for r in jobs} <= set(range(4))
+
+
 def test_entry_and_registry_without_llm(spark):
     import __spark_entry__ as entry
 
