@@ -7,8 +7,9 @@ stable with the token settled where it starts. The transducer reads a byte at a
 is the longest suffix that is a prefix of some token; each state carries the tokens that may end
 there. States, their transitions and the stable relation are compiled from the merges when they are
 first met, and kept in tables of bounded size. The registers are the tokens settled at the cuts
-inside the suffix; what all of them share is emitted, so output waits for no more bytes than
-the longest token has.
+inside the suffix; what all of them share is settled, so output need wait for no more bytes than
+the longest token has. Pieces are short: what is settled is moved out after every 4096 bytes, and the rest at the piece's end.
+A piece that is itself a token, and one met lately, needs no walk.
 
 **Decoding.** Each token is compiled, for each state of an incremental UTF-8 machine, into the
 text it completes and the state it leaves; these transitions are also made when first met.
