@@ -112,3 +112,56 @@ def ulid_prefix(millis: Column) -> Column:
     """The ten base-32 digits of a time in milliseconds."""
     digit = lambda k: F.substring(F.lit(_CROCKFORD), F.shiftrightunsigned(millis, 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1))
     return F.concat(*[digit(k) for k in range(9, -1, -1)])
+
+
+def ulid_uuid(ulid: Column) -> Column:
+    """A ULID as the UUID of the same 128 bits; null for what is none."""
+    digit = lambda c: F.lpad(F.bin(F.instr(F.lit(_CROCKFORD), c) - 1), 5, "0")
+    bits = F.array_join(F.transform(F.split(F.upper(ulid), ""), lambda c: F.when(c != "", digit(c)).otherwise("")), "")
+    half = lambda at: F.lower(F.lpad(F.conv(F.substring(bits, at, 64), 2, 16), 16, "0"))
+    text = F.concat(half(3), half(67))
+    parts = F.concat_ws("-", F.substring(text, 1, 8), F.substring(text, 9, 4), F.substring(text, 13, 4), F.substring(text, 17, 4), F.substring(text, 21, 12))
+    return F.when(F.upper(ulid).rlike(f"^[0-7][{_CROCKFORD}]{{25}}$"), parts)
+
+
+def uuid_ulid(uuid: Column) -> Column:
+    """The ULID of a UUID's 128 bits."""
+    hexed = F.replace(uuid, F.lit("-"), F.lit(""))
+    half = lambda at: F.lpad(F.conv(F.substring(hexed, at, 16), 16, 2), 64, "0")
+    bits = F.concat(F.lit("00"), half(1), half(17))
+    digit = lambda k: F.substring(F.lit(_CROCKFORD), F.conv(F.substring(bits, k, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(126), F.lit(5)), digit), "")
+
+
+def json_set(doc: Column, key: str, value: Column) -> Column:
+    """A JSON object with ``key`` set to a JSON value; other keys stay as they are, in their order. Null for what is no object."""
+    entries = F.map_entries(F.from_json(doc, "map<string, variant>"))
+    others = F.filter(entries, lambda e: e["key"] != key)
+    return F.to_json(F.map_from_entries(F.concat(others, F.array(F.struct(F.lit(key).alias("key"), F.parse_json(value).alias("value"))))))
+
+
+def markdown_from_html(html: Column) -> Column:
+    """Plain Markdown of simple HTML: headings, paragraphs, emphasis, code, links and list items; other tags go, scripts and styles with their content."""
+    rules = [
+        (r"(?is)<(script|style|head)\b[^>]*>.*?</\1\s*>", ""),
+        (r"(?is)<!--.*?-->", ""),
+        (r"\s+", " "),
+        *[(rf"(?i) ?<h{n}\b[^>]*> ?", "\n\n" + "#" * n + " ") for n in range(1, 7)],
+        (r"(?i) ?</(h[1-6]|p|div|ul|ol|table)\s*> ?", "\n\n"),
+        (r"(?i) ?<li\b[^>]*> ?", "\n* "),
+        (r"(?i)<br\s*/?> ?", "\n"),
+        (r"(?i)</?(strong|b)\b[^>]*>", "**"),
+        (r"(?i)</?(em|i)\b[^>]*>", "_"),
+        (r"(?i)</?code\b[^>]*>", "`"),
+        (r"""(?i)<a\b[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)"),
+        (r"<[^>]*>", ""),
+        (r"&lt;", "<"),
+        (r"&gt;", ">"),
+        (r"&quot;", '"'),
+        (r"&#39;|&apos;", "'"),
+        (r"&nbsp;", " "),
+        (r"&amp;", "&"),
+        (r" *\n *", "\n"),
+        (r"\n{3,}", "\n\n"),
+    ]
+    return F.trim(F.regexp_replace(reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, html), r"^\n+|\n+$", ""))

@@ -831,6 +831,17 @@ def fn_ulid(spark, sf):
     return table(spark, sf, "events").select("event_id", fn.ulid_millis(fn.ulid_prefix(m)).alias("millis"))
 
 
+@case("FN_ulid_uuid", "WITH h AS (SELECT event_id, lower(lpad(to_hex(event_id * 86400000), 12, '0')) AS h FROM events) SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-0000-0000-000000000000' AS uuid, true AS back FROM h")
+def fn_ulid_uuid(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.concat(fn.ulid_prefix(F.col("event_id") * 86400000), F.lit("0" * 16)).alias("ulid"))
+    return e.withColumn("uuid", fn.ulid_uuid(F.col("ulid"))).select("event_id", "uuid", (fn.uuid_ulid(F.col("uuid")) == F.col("ulid")).alias("back"))
+
+
+@case("FN_json_set", "SELECT event_id, '{\"k\":' || json_extract(props, '$.k') || ',\"n\":' || event_id || '}' AS doc FROM events")
+def fn_json_set(spark, sf):
+    return table(spark, sf, "events").select("event_id", fn.json_set(F.col("props"), "n", F.col("event_id").cast("string")).alias("doc"))
+
+
 @case("FN_json_schema", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) <= 50 AS valid FROM events")
 def fn_json_schema(spark, sf):
     schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 50}}}

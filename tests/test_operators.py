@@ -101,6 +101,11 @@ def test_functions(spark):
     assert get(fn.text_chunks(F.lit(""), 4, 1)) == [] and get(fn.text_chunks(F.lit(None).cast("string"), 4, 1)) is None
     assert get(fn.ulid_millis(F.lit("01ARZ3NDEKTSV4RRFFQ69G5FAV"))) == 1469922850259
     assert get(fn.hamming(F.lit("1010"), F.lit("1001"))) == 2
+    assert get(fn.ulid_uuid(F.lit("01ARZ3NDEKTSV4RRFFQ69G5FAV"))) == "01563e3a-b5d3-d676-4c61-efb99302bd5b" and get(fn.ulid_uuid(F.lit("x"))) is None
+    assert get(fn.uuid_ulid(F.lit("01563e3a-b5d3-d676-4c61-efb99302bd5b"))) == "01ARZ3NDEKTSV4RRFFQ69G5FAV"
+    assert get(fn.json_set(F.lit('{"a":1,"b":[1,{"c":null}],"d":"x"}'), "b", F.lit('{"z":2.5}'))) == '{"a":1,"d":"x","b":{"z":2.5}}'
+    html = '<head><title>t</title></head><h1>Hi <b>you</b></h1><p>A <a href="u">link</a> &amp; <em>more</em>.</p><ul><li>one</li><li>two</li></ul>'
+    assert get(fn.markdown_from_html(F.lit(html))) == "# Hi **you**\n\nA [link](u) & _more_.\n\n* one\n* two"
 
 
 def test_memtable_rolls_on_a_stream(spark, tmp_path):
