@@ -98,6 +98,29 @@ def branch_caps(branches: DataFrame, max_depth: int = 64) -> DataFrame:
     return out
 
 
+def create_branches(asked: DataFrame, timelines: DataFrame, leases: DataFrame, existing: DataFrame) -> DataFrame:
+    """Requests (branch, parent, lsn?) for new branches: ``branch, parent, branch_lsn, status``.
+
+    Without a position a branch starts at its parent's last one. ``timelines`` is (timeline, last, applied, planned), ``leases`` (timeline, lsn), ``existing``
+    (branch, parent, branch_lsn). status: ``no_parent``; ``exists`` for a branch that is there as asked and ``conflict`` for one that is not;
+    ``below_applied`` and ``below_planned`` for a position under the parent's cutoffs that no lease holds; else ``created``.
+    """
+    parents = timelines.select(F.col("timeline").alias("parent"), "last", "applied", "planned")
+    at = asked.join(parents, "parent", "left").withColumn("branch_lsn", F.coalesce("lsn", "last")).drop("lsn")
+    held = leases.select(F.col("timeline").alias("parent"), F.col("lsn").alias("branch_lsn"), F.lit(True).alias("held")).distinct()
+    there = existing.select("branch", F.col("parent").alias("_p"), F.col("branch_lsn").alias("_l"), F.lit(True).alias("there"))
+    at = at.join(held, ["parent", "branch_lsn"], "left").join(there, "branch", "left")
+    open_ = F.col("held").isNull()
+    status = (
+        F.when(F.col("last").isNull(), "no_parent")
+        .when(F.col("there"), F.when((F.col("_p") == F.col("parent")) & (F.col("_l") == F.col("branch_lsn")), "exists").otherwise("conflict"))
+        .when(open_ & (F.col("branch_lsn") < F.col("applied")), "below_applied")
+        .when(open_ & (F.col("branch_lsn") < F.col("planned")), "below_planned")
+        .otherwise("created")
+    )
+    return at.select("branch", "parent", "branch_lsn", status.alias("status"))
+
+
 def inherited_read(history: DataFrame, branches: DataFrame, not_inherited: list[tuple[int, int]], images: DataFrame | None = None) -> DataFrame:
     """``branch, key, lsn, payload``: the newest version of each key that a branch sees, with the rules of a read that descends to ancestors.
 

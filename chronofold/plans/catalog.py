@@ -193,6 +193,23 @@ def j15(spark, sf):
     return versioned.branch_caps(_branches(spark)).drop("depth")
 
 
+_ASKED_BRANCHES = """WITH q AS (SELECT o_orderkey AS branch, o_custkey + o_orderkey % 2 AS parent, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 1000 END AS lsn FROM orders), t AS (SELECT c_custkey AS parent, 20000 + c_custkey AS last, c_custkey % 300 AS applied, c_custkey % 700 AS planned FROM customer),
+a AS (SELECT branch, parent, CASE WHEN lsn IS NULL THEN last ELSE lsn END AS at_, applied, planned, last FROM q LEFT JOIN t USING (parent)),
+l AS (SELECT DISTINCT o_custkey AS parent, o_orderkey % 1000 AS at_ FROM orders WHERE o_orderstatus = 'F'), x AS (SELECT o_orderkey AS branch, o_custkey AS parent, o_orderkey % 1000 AS at_ FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 10 = 2)
+SELECT branch, parent, at_ AS branch_lsn, CASE WHEN last IS NULL THEN 'no_parent' WHEN branch IN (SELECT branch FROM x) THEN CASE WHEN (branch, parent, at_) IN (SELECT (branch, parent, at_) FROM x) THEN 'exists' ELSE 'conflict' END WHEN (parent, at_) IN (SELECT (parent, at_) FROM l) THEN 'created' WHEN at_ < applied THEN 'below_applied' WHEN at_ < planned THEN 'below_planned' ELSE 'created' END AS status FROM a"""
+
+
+@case("F04_create_branches", _ASKED_BRANCHES)
+def f04(spark, sf):
+    o, c = table(spark, sf, "orders"), F.col("c_custkey")
+    k, at = F.col("o_orderkey"), F.col("o_orderkey") % 1000
+    asked = o.select(k.alias("branch"), (F.col("o_custkey") + k % 2).alias("parent"), F.when(k % 4 > 0, at).alias("lsn"))
+    timelines = table(spark, sf, "customer").select(c.alias("timeline"), (c + 20000).alias("last"), (c % 300).alias("applied"), (c % 700).alias("planned"))
+    leases = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("timeline"), at.alias("lsn"))
+    there = o.where((k % 10 == 0) | (k % 10 == 2)).select(k.alias("branch"), F.col("o_custkey").alias("parent"), at.alias("branch_lsn"))
+    return versioned.create_branches(asked, timelines, leases, there)
+
+
 _BH = "h AS (SELECT event_id % 8 AS source, user_id AS key, event_id AS lsn, event_type AS payload FROM events)"
 
 
