@@ -41,7 +41,7 @@ CALIBRATION_PER_LANG = 200
 #: A text is rejected whose bits per symbol exceed those of all calibration texts of its length by so many standard deviations.
 REJECT_DEVIATIONS = 2.0
 #: ... and by so many bits at least: long texts vary little, but a few hold much that is not prose.
-REJECT_BITS = 0.3
+REJECT_BITS = 0.5
 #: Lengths in code points of the pieces of calibration texts, and how many of each a text gives.
 PIECES, PIECES_OF_TEXT = (6, 12, 24, 48, 96, 192, 384, 768), 4
 LENGTHS = 24  # doublings of letters that have a limit
