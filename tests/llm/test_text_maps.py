@@ -8,11 +8,13 @@ from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from chronofold.llm import bpe, html_extract, lang_id, pii
+from chronofold.llm.common import slices
 from chronofold.llm.queries import PATTERN, RANKS
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body class="has-sidebar">
@@ -259,3 +261,11 @@ def test_kneser_ney_sums_to_one():
     for context in {k >> 8 for k in keys.tolist()}:
         p = np.exp2(model._level(np.array([context << 8 | a for a in alphabet], np.uint32), 4)[:, 0]).sum()
         assert p == pytest.approx(1 - 0, abs=0.1) and p <= 1 + 1e-3  # the rest is kept for unseen symbols
+
+
+def test_slices_hold_whole_rows_of_bounded_size():
+    texts = ["x" * (3 << 20)] * 5 + [None, "", "y" * (20 << 20), "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["i", "t"]).slice(1)
+    parts = list(slices(batch))
+    assert [p.column(0).to_pylist() for p in parts] == [[1, 2], [3, 4, 5, 6], [7], [8]]
+    assert list(slices(batch.slice(0, 0))) == []
