@@ -168,6 +168,20 @@ def _view(history: DataFrame, caps: DataFrame) -> DataFrame:
     return history.withColumnRenamed("branch", "source").join(caps, "source").where("lsn <= cap").drop("cap", "depth")
 
 
+def relation_sizes(ops: DataFrame, as_of: int | None = None) -> DataFrame:
+    """``rel, blocks``: relations that exist and their sizes after ``ops`` (rel, lsn, op, blocks) up to a position.
+
+    ``extend`` makes a relation at least so large, ``truncate`` exactly so large, and ``drop`` ends it; an extension after that begins it anew.
+    Only what follows the last truncation or drop counts, so two aggregations do, and no history is walked.
+    """
+    seen = ops if as_of is None else ops.where(F.col("lsn") <= as_of)
+    resets = seen.where("op <> 'extend'").groupBy("rel").agg(F.max("lsn").alias("_at"), F.max_by(F.struct("op", "blocks"), "lsn").alias("_r"))
+    grown = seen.where("op = 'extend'").join(resets.select("rel", "_at"), "rel", "left").where("_at is null or lsn > _at").groupBy("rel").agg(F.max("blocks").alias("_g"))
+    both = grown.join(resets, "rel", "full").where("_g is not null or _r.op = 'truncate'")
+    base = F.when(F.col("_r.op") == "truncate", F.col("_r.blocks"))
+    return both.select("rel", F.greatest("_g", base).alias("blocks"))
+
+
 def drop_tombstones(state: DataFrame, payload: str = "payload") -> DataFrame:
     """Keys whose newest version is not a deletion (an empty payload)."""
     return state.where(F.coalesce(F.col(payload), F.lit("")) != "")

@@ -415,6 +415,19 @@ def f12(spark, sf):
     return layers.contiguous_l0(table(spark, sf, "orders").select(i.alias("id"), (i * 10).alias("lsn_start"), (i * 10 + F.when(i % 173 == 172, 5).otherwise(10)).alias("lsn_end")))
 
 
+#: Epochs between resets, numbered by a running count.
+_SIZES = """WITH o AS (SELECT user_id AS rel, event_id AS lsn, CASE event_type WHEN 'signup' THEN 'drop' WHEN 'error' THEN 'truncate' ELSE 'extend' END AS op, event_id * 7 % 500 AS blocks FROM events WHERE event_id <= 9000),
+n AS (SELECT *, count(*) FILTER (WHERE op <> 'extend') OVER (PARTITION BY rel ORDER BY lsn) AS epoch FROM o), l AS (SELECT * FROM n QUALIFY epoch = max(epoch) OVER (PARTITION BY rel))
+SELECT rel, max(blocks) FILTER (WHERE op <> 'drop') AS blocks FROM l GROUP BY rel HAVING count(*) FILTER (WHERE op <> 'drop') > 0"""
+
+
+@case("F22_relation_sizes", _SIZES)
+def f22s(spark, sf):
+    op = F.when(F.col("event_type") == "signup", "drop").when(F.col("event_type") == "error", "truncate").otherwise("extend")
+    ops = table(spark, sf, "events").select(F.col("user_id").alias("rel"), F.col("event_id").alias("lsn"), op.alias("op"), (F.col("event_id") * 7 % 500).alias("blocks"))
+    return versioned.relation_sizes(ops, 9000)
+
+
 #: Sizes of keys added up in order of key; keys of over 3000 bytes are cut by position.
 _TILES = """WITH r AS (SELECT user_id AS key, event_id AS lsn, 10 + event_id % 90 AS bytes FROM events), k AS (SELECT key, sum(bytes) AS z FROM r GROUP BY key),
 u AS (SELECT key, z, (sum(z) OVER (ORDER BY key) - z) // 8000 AS span FROM k),

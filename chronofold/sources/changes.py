@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_layers(rows: DataFrame, path: str, partitions: int, key: str = "key", lsn: str = "lsn", rows_per_file: int = 5_000_000) -> None:
-    """Delta or image files: ranges of keys, sorted by key and position, so that reads skip by the files' statistics."""
-    rows.repartitionByRange(partitions, key).sortWithinPartitions(key, lsn).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+def write_layers(rows: DataFrame, path: str, partitions: int, key: str = "key", lsn: str = "lsn", rows_per_file: int | None = None) -> None:
+    """Delta or image files: ranges of whole keys, sorted by key and position, so that reads skip by the files' statistics.
+
+    With ``rows_per_file`` larger ranges are several files, which may part a key by position.
+    """
+    rows.repartitionByRange(partitions, key).sortWithinPartitions(key, lsn).write.option("maxRecordsPerFile", rows_per_file or 0).parquet(path)
 
 
 def read_layers(spark: SparkSession, path: str, start: int, end: int, upto: int) -> DataFrame:
