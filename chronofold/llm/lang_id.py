@@ -10,8 +10,9 @@ Training: the counts come from a sample of whole labelled texts whose expected s
 ``doc_id``, so the same rows give the same model). Counting runs on the executors; the model's
 size is bounded by the sample. A second, disjoint sample of ``calibration_per_lang`` documents
 fits the confidence and the rejection limits: for each language and each doubling of a text's
-letters, the largest cross-entropy of calibration texts, and pieces of them, of about that many letters, and
-``REJECT_DEVIATIONS`` standard deviations more (``REJECT_BITS`` at least).
+letters, the ``REJECT_QUANTILE`` of the cross-entropies of calibration texts, and pieces of them, of about that many letters, and
+``REJECT_DEVIATIONS`` standard deviations more (``REJECT_BITS`` at least). So a few calibration texts that are no prose
+don't widen the limits, as long as they are fewer than the quantile leaves out.
 
 Defined results: letters are what Unicode calls one (category L); a null text or one without letters is ``und`` with score 0 and is rejected;
 null labels teach nothing; equal cross-entropies go to the alphabetically first language;
@@ -38,8 +39,8 @@ SPACE = 1  # the symbol of everything that is not a letter; 0 pads nothing and n
 DISCOUNT = 0.75
 DOCS_PER_LANG = 1500
 CALIBRATION_PER_LANG = 200
-#: A text is rejected whose bits per symbol exceed those of all calibration texts of its length by so many standard deviations.
-REJECT_DEVIATIONS = 2.0
+#: A text is rejected whose bits per symbol exceed this quantile of calibration texts of its length by so many standard deviations.
+REJECT_QUANTILE, REJECT_DEVIATIONS = 0.995, 2.0
 #: ... and by so many bits at least: long texts vary little, but a few hold much that is not prose.
 REJECT_BITS = 0.5
 #: Lengths in code points of the pieces of calibration texts, and how many of each a text gives.
@@ -187,7 +188,7 @@ def _limits(n_lang: int, lang: np.ndarray, letters: np.ndarray, low: np.ndarray)
         for d in range(LENGTHS):
             x = low[((lang == k) | (k == n_lang)) & (length == d)]
             if len(x) >= 5:
-                out[k, d] = x.max() + max(REJECT_DEVIATIONS * x.std(), REJECT_BITS)
+                out[k, d] = np.quantile(x, REJECT_QUANTILE) + max(REJECT_DEVIATIONS * x.std(), REJECT_BITS)
     own = np.where(np.isinf(out[:n_lang]), out[n_lang], out[:n_lang])  # what no text of a language measures, those of all do
     return np.minimum.accumulate(own, axis=1)
 

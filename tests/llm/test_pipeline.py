@@ -19,7 +19,7 @@ def test_stages_in_turn(spark, sf_dir, tmp_path):
     rng = random.Random(5)
     draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
     junk = {-10 - k: t for k, t in enumerate([draw(400), draw(2000), "Все люди рождаются свободными и равными в своем достоинстве", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", None, "", "12 34 ### 😀"])}
-    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in junk.items()], docs.schema))
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None, "src1", len(t or "")) for i, t in junk.items()], docs.schema))
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
     kept = {}
     for k, (name, stage) in enumerate(pipeline.STAGES):
