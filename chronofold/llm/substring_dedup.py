@@ -289,7 +289,7 @@ def starts_by_doubling(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Ranks of one byte become ranks of 2, 4, ... bytes and at last of ``length``: Spark joins each position's rank with that of the
     position at the offset, sorts the pairs, and gives equal pairs one rank, the first place that has it. Positions whose
-    rank no other document has are unique and leave. Exact, without names; every position moves twice a round.
+    rank no other document has are unique and leave. Exact, without names; every position moves twice a round. Of rows that repeat a doc_id one counts.
     """
 
     def places(batch: dict) -> dict:
@@ -299,7 +299,7 @@ def starts_by_doubling(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return {"doc_id": pa.array(ids), "lo": pa.array(at), "rank": pa.array(data[offsets[0] : offsets[-1]].astype(np.int64))}
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
     ranks = arrow_map(texts, places, "doc_id bigint, lo bigint, rank bigint").select("doc_id", "lo", F.struct(F.lit(-1).cast("bigint").alias("doc_id"), F.col("rank").alias("lo")).alias("rank"))
     size = 1
     while size < length:
