@@ -114,23 +114,23 @@ def ulid_prefix(millis: Column) -> Column:
     return F.concat(*[digit(k) for k in range(9, -1, -1)])
 
 
+#: Digits of a ULID and of the UUID of the same bits: (first digit, digits) of either; conv() takes up to 64 bits.
+_ULID_PARTS = (((1, 2), (1, 2)), ((3, 12), (3, 15)), ((15, 12), (18, 15)))
+_BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+
+
 def ulid_uuid(ulid: Column) -> Column:
     """A ULID as the UUID of the same 128 bits; null for what is none."""
-    digit = lambda c: F.lpad(F.bin(F.instr(F.lit(_CROCKFORD), c) - 1), 5, "0")
-    bits = F.array_join(F.transform(F.split(F.upper(ulid), ""), lambda c: F.when(c != "", digit(c)).otherwise("")), "")
-    half = lambda at: F.lower(F.lpad(F.conv(F.substring(bits, at, 64), 2, 16), 16, "0"))
-    text = F.concat(half(3), half(67))
-    parts = F.concat_ws("-", F.substring(text, 1, 8), F.substring(text, 9, 4), F.substring(text, 13, 4), F.substring(text, 17, 4), F.substring(text, 21, 12))
-    return F.when(F.upper(ulid).rlike(f"^[0-7][{_CROCKFORD}]{{25}}$"), parts)
+    digits = F.translate(F.upper(ulid), _CROCKFORD, _BASE32)
+    hexed = F.lower(F.concat(*[F.lpad(F.conv(F.substring(digits, *u), 32, 16), n, "0") for u, (_, n) in _ULID_PARTS]))
+    dashed = F.regexp_replace(hexed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return F.when(F.upper(ulid).rlike(f"^[0-7][{_CROCKFORD}]{{25}}$"), dashed)
 
 
 def uuid_ulid(uuid: Column) -> Column:
     """The ULID of a UUID's 128 bits."""
     hexed = F.replace(uuid, F.lit("-"), F.lit(""))
-    half = lambda at: F.lpad(F.conv(F.substring(hexed, at, 16), 16, 2), 64, "0")
-    bits = F.concat(F.lit("00"), half(1), half(17))
-    digit = lambda k: F.substring(F.lit(_CROCKFORD), F.conv(F.substring(bits, k, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(126), F.lit(5)), digit), "")
+    return F.translate(F.concat(*[F.lpad(F.conv(F.substring(hexed, *h), 16, 32), n, "0") for (_, n), h in _ULID_PARTS]), _BASE32, _CROCKFORD)
 
 
 def json_set(doc: Column, key: str, value: Column) -> Column:

@@ -1,5 +1,6 @@
 """Every registered query of the library runs, and equals its SQL where it has some."""
 
+import duckdb
 import pytest
 
 from chronofold import registry
@@ -50,3 +51,18 @@ def test_sample_query(spark, sf_dir):
     all_ = {r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect()}
     got = [r.o_orderkey for r in QUERIES["S21_table_sample"](spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) <= all_ and 0.05 * len(all_) < len(got) < 0.2 * len(all_)
+
+
+def with_tables(duck, folder, **tables):
+    """A folder of the named tables, from SQL, and a DuckDB of its own that has them as views."""
+    own = duckdb.connect()
+    for name, sql in tables.items():
+        duck.execute(f"COPY ({sql}) TO '{folder}/{name}.parquet'")
+        own.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return str(folder), own
+
+
+def test_ulids_of_times_over_48_bits(spark, duck, tmp_path):
+    days = "(VALUES (0), (1), (3257812), (3257813), (5999999), (52125001)) t(event_id)"
+    folder, own = with_tables(duck, tmp_path, events=f"SELECT CAST(event_id AS BIGINT) AS event_id FROM {days}")
+    same(QUERIES["FN_ulid_uuid"](spark, folder), own.sql(SQL["FN_ulid_uuid"]))
