@@ -320,9 +320,57 @@ def test_copies_of_a_range_make_no_pairs(spark):
     assert got == {k: n for k, n in want.items() if n}
     many = spark.range(20000).selectExpr("id", "id % 3 as start", "id % 3 + 5 as end")
     counts = keyspace.contained_counts(many)
+    assert joined_rows(counts) < 10**6
     assert {r.n for r in counts.select("n").distinct().collect()} == {6666, 6665}
 
 
+def test_covered_layers_against_keys(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(250):
+        s, low, kind = rng.randint(0, 40), rng.randint(0, 30), rng.choice(["image", "delta"])
+        rows.append((i, kind, s, s + rng.randint(1, 8), low, low + (rng.choice([0, 1, 1, 1]) if kind == "image" else rng.randint(1, 9))))
+    m = spark.createDataFrame(rows, "id long, kind string, start long, end long, lsn_start long, lsn_end long")
+
+    def covered(a, point):
+        newer = [b for b in rows if b[1] == "image" and b[0] != a[0] and a[5] <= b[4] <= point]
+        return all(any(b[2] <= k < b[3] for b in newer) for k in range(a[2], a[3]))
+
+    points = [12, 20, 35]
+    got = {r.id for r in layers.visible(m, spark.createDataFrame([(p,) for p in points], "lsn long")).collect()}
+    assert got == {a[0] for a in rows if any(a[4] <= p and not covered(a, p) for p in points)}
+    none = spark.createDataFrame([], "lsn long")
+    verdicts = {r.id: r.verdict for r in layers.collectable(m, 25, 20, none, none).collect()}
+    assert verdicts == {a[0]: "space_cutoff" if a[5] > 25 else "time_cutoff" if a[5] > 20 else "remove" if covered(a, 20) else "not_covered" for a in rows}
+
+
+def test_layers_of_equal_ranges_do_not_meet_each_image(spark):
+    # 20000 deltas under 20000 images of the same three key ranges: pair by pair these are over 10**8 rows.
+    m = spark.range(40000).selectExpr("id", "if(id % 2 = 0, 'image', 'delta') as kind", "id % 3 as start", "id % 3 + 5 as end", "if(id % 2 = 0, 500 + id % 100, id % 100) as lsn_start", "if(id % 2 = 0, 501 + id % 100, 1 + id % 100) as lsn_end")
+    made = layers.collectable(m, 700, 700, *[spark.createDataFrame([], "lsn long")] * 2)
+    assert made.where("id % 2 = 1 and verdict <> 'remove'").isEmpty()
+    assert joined_rows(made) < 10**6
+
+
+def joined_rows(df):
+    """The most rows that a join of the executed plan made."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "InputAdapter"):
+            todo.append(node.executedPlan() if "Adaptive" in node.getClass().getSimpleName() else node.child())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return most
+
+
 def test_reads_of_a_hot_key(spark):
     rng = random.Random(2)
     rows = [(1 if rng.random() < 0.9 else rng.randint(2, 5), x, rng.random() < 0.1, f"p{x}") for x in range(3000)]
