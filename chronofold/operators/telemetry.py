@@ -133,35 +133,63 @@ def tree_size(segments: DataFrame) -> DataFrame:
     """``tenant, size``: the least cost of keeping each needed point of a branch tree readable.
 
     Segments are (tenant, id, parent, lsn, size, needed). Each node either stores a snapshot of its size or the log since its
-    parent, if that is kept; a subtree without needed points costs nothing. A tenant's tree is small, so it is one group.
+    parent, if that is kept; a subtree without needed points costs nothing. Tenants are dealt to tasks and sorted there, and a task
+    goes through its rows in bounded batches: it holds one tenant's tree, which is small, beside a batch.
     """
+    inf = float("inf")
 
-    def cheapest(pdf):
-        import pandas as pd
-
-        rows = {r.id: r for r in pdf.itertuples()}
+    def cheapest(rows: list) -> int:
+        nodes = {r[1]: r for r in rows}
         kids: dict = {}
-        for r in rows.values():
-            if pd.notna(r.parent):
-                kids.setdefault(int(r.parent), []).append(r.id)
-        order, todo = [], [i for i, r in rows.items() if pd.isna(r.parent)]
+        for r in nodes.values():
+            if r[2] is not None:
+                kids.setdefault(r[2], []).append(r[1])
+        roots = [i for i, r in nodes.items() if r[2] is None]
+        order, todo = [], list(roots)
         while todo:
             i = todo.pop()
             order.append(i)
-            todo += kids.get(i, [])
-        kept: dict[int, float] = {}  # cost of the subtree if the node is readable by what is stored above it
-        bare: dict[int, float] = {}  # cost of the subtree if nothing above is stored
+            todo += kids.get(i, ())
+        cost: dict = {}  # of the subtree if the node is readable by what is stored above it, and if nothing above is stored
         for i in reversed(order):
-            r = rows[i]
-            snapshot = (float(r.size) if pd.notna(r.size) else float("inf")) + sum(kept[k] for k in kids.get(i, []))
-            log = (float(r.lsn - rows[int(r.parent)].lsn) if pd.notna(r.parent) else float("inf")) + sum(kept[k] for k in kids.get(i, []))
-            skip = float("inf") if r.needed else sum(bare[k] for k in kids.get(i, []))
-            bare[i] = min(snapshot, skip)
-            kept[i] = min(snapshot, log, skip)
-        roots = [i for i, r in rows.items() if pd.isna(r.parent)]
-        return pd.DataFrame({"tenant": [pdf.tenant.iloc[0]], "size": [int(sum(bare[i] for i in roots))]})
+            _, _, parent, lsn, size, needed = nodes[i]
+            below = [cost[k] for k in kids.get(i, ())]
+            kept = sum(k for k, _ in below)
+            snapshot = (inf if size is None else float(size)) + kept
+            log = inf if parent is None else float(lsn - nodes[parent][3]) + kept
+            skip = inf if needed else sum(b for _, b in below)
+            cost[i] = min(snapshot, log, skip), min(snapshot, skip)
+        return int(sum(cost[i][1] for i in roots))
+
+    def trees(batches):
+        import pyarrow as pa
+
+        tenant, rows = None, []
+        out: dict = {"tenant": [], "size": []}
+
+        def close():
+            if rows:
+                out["tenant"].append(tenant)
+                out["size"].append(cheapest(rows))
+                rows.clear()
+
+        def made():
+            batch = pa.RecordBatch.from_pydict(out, pa.schema([("tenant", pa.int64()), ("size", pa.int64())]))
+            out["tenant"], out["size"] = [], []
+            return batch
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[0] != tenant:
+                    close()
+                    tenant = r[0]
+                rows.append(r)
+            yield made()
+        close()
+        yield made()
 
     from chronofold.session import ship
 
     ship(segments.sparkSession)
-    return segments.groupBy("tenant").applyInPandas(cheapest, "tenant bigint, size bigint")
+    dealt = segments.select("tenant", "id", "parent", "lsn", "size", "needed").repartition("tenant").sortWithinPartitions("tenant")
+    return dealt.mapInArrow(trees, "tenant bigint, size bigint")

@@ -74,6 +74,21 @@ def test_tree_size_examples(spark):
     assert telemetry.tree_size(spark.createDataFrame(unneeded, s)).first()["size"] == 0
 
 
+def test_trees_over_several_batches(spark):
+    # A chain of 10 needed segments a tenant: the root's snapshot and nine logs of 1; batches of 7 rows end inside tenants.
+    s = spark.range(3000).selectExpr("id div 10 as tenant", "id % 10 as id", "if(id % 10 = 0, null, id % 10 - 1) as parent", "id % 10 as lsn", "if(id % 10 = 0, 100 + id div 10, null) as size", "true as needed")
+    s = s.unionByName(spark.range(3).selectExpr("cast(null as bigint) as tenant", "id", "cast(null as bigint) as parent", "id as lsn", "cast(4 as bigint) as size", "true as needed"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = telemetry.tree_size(s)
+        assert sorted((r.tenant is None, r.tenant, r.size) for r in made.where("tenant is not null").collect()) == [(False, t, 109 + t) for t in range(300)]
+        assert [r.size for r in made.where("tenant is null").collect()] == [12]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "FlatMapGroupsInPandas" not in plan(made)  # no call and no frame a tenant
+
+
 def test_sliding_distinct_is_close(spark):
     e = spark.range(20000).select((F.col("id") % 5000).alias("u"), F.col("id").alias("t"))
     state = telemetry.sliding_state(e, "u", "t")
