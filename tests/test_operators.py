@@ -339,6 +339,19 @@ def test_copies_of_a_range_make_no_pairs(spark):
     assert {r.n for r in counts.select("n").distinct().collect()} == {6666, 6665}
 
 
+def test_pairs_of_shared_ranges(spark):
+    rng = random.Random(8)
+    draw = [(s := rng.randint(0, 90), s + rng.randint(0, 20)) for _ in range(30)]
+    a, b = ([(i, *draw[rng.randint(0, 29)]) for i in range(n)] for n in (200, 150))
+    got = keyspace.overlap_ids(spark.createDataFrame(a, "q long, start long, end long"), spark.createDataFrame(b, "id long, start long, end long"), "q", "id")
+    full = lambda rows: [r for r in rows if r[1] < r[2]]
+    assert sorted((r.a_q, r.b_id) for r in got.collect()) == sorted((x[0], y[0]) for x in full(a) for y in full(b) if x[1] < y[2] and y[1] < x[2])
+    many = spark.range(2500).selectExpr("id", "id % 2 as start", "id % 2 + 5 as end")
+    pairs = keyspace.overlap_ids(many.withColumnRenamed("id", "q"), many, "q", "id").agg(F.count("*"), F.sum("a_q"), F.sum("b_id"), F.sum(F.col("a_q") * F.col("b_id")))
+    assert tuple(pairs.first()) == (2500**2, *[2500 * sum(range(2500))] * 2, sum(range(2500)) ** 2)
+    assert joined_rows(pairs) < 10**5  # arrays, not pairs
+
+
 def test_covered_layers_against_keys(spark):
     rng = random.Random(9)
     rows = []
