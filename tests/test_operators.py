@@ -352,6 +352,20 @@ def test_pairs_of_shared_ranges(spark):
     assert joined_rows(pairs) < 10**5  # arrays, not pairs
 
 
+def test_pairs_are_handed_on_in_parts(spark):
+    many = spark.range(2000).selectExpr("id", "0 as start", "5 as end")
+    one = keyspace.overlap_ids(many.withColumnRenamed("id", "q"), many, "q", "id").limit(1)
+    assert one.count() == 1 and len(one.collect()) == 1
+    node = one._jdf.queryExecution().executedPlan().executedPlan()
+    while node.nodeName() != "Generate":
+        node = node.plan() if node.getClass().getSimpleName().endswith("QueryStageExec") else node.children().apply(0)
+    assert 0 < node.metrics().apply("numOutputRows").value() < 10**5  # not all pairs of two arrays, which are a million
+    few = many.where("id < 23")
+    for held in (1, 7, 100, 10**12):
+        pairs = keyspace.overlap_ids(few.withColumnRenamed("id", "q"), few, "q", "id", held)
+        assert sorted(map(tuple, pairs.collect())) == [(q, i) for q in range(23) for i in range(23)]
+
+
 def test_covered_layers_against_keys(spark):
     rng = random.Random(9)
     rows = []
